@@ -87,23 +87,25 @@ def n_words(text: Column) -> Column:
 # --- ranks and running sums over groups of any size ---------------------------------------------
 
 
-def numbered(df: DataFrame, keys: list[str], order: str, out: str = "rank", per: int = 4000) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: str, out: str = "rank", per: int = 4000, weight: str | None = None) -> DataFrame:
     """Adds the 0-based place of each row within its key, by the hexadecimal string column `order`.
 
-    A key's rows are dealt into buckets of about `per` rows by the first digits of `order`, counted, and
-    only then ranked inside their bucket, so no task holds a whole key. `df` must not change when it is
-    computed twice: pass a table that cut() has written.
+    With `weight`, a long column, it is the sum of the weights before the row. A key's rows are dealt into buckets
+    of about `per` rows by the first digits of `order`, summed, and only then ranked inside their bucket, so no
+    task holds a whole key. `df` must not change when it is computed twice: pass a table that cut() has written.
     """
+    same = lambda names: [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in names]
+    w = F.col(weight) if weight else F.lit(1)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     part = (F.conv(F.substring(order, 1, 7), 16, 10).cast("long") * F.ceil(F.col("_n") / per) / (1 << 28)).cast("long")
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    dealt = df.alias("l").join(sizes.alias("r"), on).select("l.*", "_n").withColumn("_b", part).drop("_n")
+    dealt = df.alias("l").join(sizes.alias("r"), same(keys)).select("l.*", "_n").withColumn("_b", part).drop("_n")
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    counts = dealt.groupBy(*keys, "_b").agg(F.sum(w).alias("_c"))
     starts = counts.withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_b"]]
-    inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order)) - 1)
-    return inside.alias("l").join(starts.alias("r"), on).select("l.*", (F.col("_s") + F.col("_i")).alias(out)).drop("_b", "_i")
+    above = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.withColumn("_i", F.coalesce(F.sum(w).over(above), F.lit(0)))
+    joined = inside.alias("l").join(starts.alias("r"), same([*keys, "_b"]))
+    return joined.select("l.*", (F.col("_s") + F.col("_i")).alias(out)).drop("_b", "_i")
 
 
 # --- connected components -----------------------------------------------------------------------
