@@ -19,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, mix64, shingles, table
@@ -27,6 +27,7 @@ from .common import components, cut, mix64, shingles, table
 #: Hashed counters: a fixed size, whatever the input.
 COUNTERS = 1 << 18
 PARTS = 16
+SALTS = 64
 
 
 def _class_of(s: np.ndarray) -> bytes:
@@ -42,15 +43,19 @@ def _scan(words: int):
     names = ["doc_id", "n", "sig", "cls", "counts"]
 
     def run(batches):
-        counts = np.zeros(COUNTERS, np.int64)
+        counts, lows, held = np.zeros(COUNTERS, np.int64), [np.empty(0, np.int32)], 0
         for b in batches:
             ns, sigs = [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text, words)
-                np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+                lows.append((s & np.uint64(COUNTERS - 1)).astype(np.int32))
+                if (held := held + len(s)) > 1 << 22:
+                    counts += np.bincount(np.concatenate(lows), minlength=COUNTERS)
+                    lows, held = [np.empty(0, np.int32)], 0
                 ns.append(len(s))
                 sigs.append(_class_of(s) if len(s) else None)
             yield pa.record_batch([b.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array([_key(x) for x in sigs], pa.int64()), pa.nulls(len(ns), pa.binary())], names)
+        counts += np.bincount(np.concatenate(lows), minlength=COUNTERS)
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
         yield pa.record_batch([*(pa.nulls(1, k) for k in kinds), pa.array([counts.astype(np.uint32).tobytes()], pa.binary())], names)
 
@@ -65,42 +70,98 @@ def _summed(batches):
     yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["counts"])
 
 
-def _ordered(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The shingles from rare to frequent, and how frequent they are on the whole (0..127)."""
+def _prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The prefix from rare to frequent, the counts of its shingles, and how frequent the set is on the whole (0..127)."""
+    k = len(s) - -(-percent * len(s) // 100) + 1
     freq = counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
     central = int(min(127, 8 * np.log2(1 + freq.mean() / (1 + counts.mean()))))
-    return s[np.lexsort((s, freq))], central
+    key = np.minimum(freq, (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | s & np.uint64((1 << 40) - 1)
+    least = np.argpartition(key, k - 1)[:k] if k < len(s) else np.arange(len(s))
+    if (key <= key[least].max()).sum() == k:
+        least = least[np.argsort(key[least])]
+        if (np.diff(key[least]) > 0).all():
+            return s[least], freq[least], central
+    least = np.lexsort((s, key))[:k]  # equal keys: the order must be the same in all sets
+    return s[least], freq[least], central
 
 
 def _postings(counts_b, words: int, percent: int):
+    """token, cls, pack (centrality, size, position), salt. Frequent shingles are dealt over SALTS parts."""
+
     def run(batches):
         counts = np.frombuffer(counts_b.value, np.int64)
+        hot = 16 * counts.mean() + 1000
         seen: set[bytes] = set()
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], []]
+            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
             for text in b.column(0).to_pylist():
                 s = shingles(text, words)
                 if not len(s) or (sig := _class_of(s)) in seen:
                     continue
                 seen.add(sig)
-                order, central = _ordered(s, counts)
-                n = len(s)
-                k = n - -(-percent * n // 100) + 1
-                out[0].append(order[:k].view(np.int64))
+                order, freq, central = _prefix(s, counts, percent)
+                k = len(order)
+                out[0].append(order.view(np.int64))
                 out[1].append(np.full(k, _key(sig)))
-                out[2].append((central << 56 | n << 28) + np.arange(k, dtype=np.int64))
-            cols = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in cols], ["token", "cls", "pack"])
+                out[2].append((central << 56 | len(s) << 28) + np.arange(k, dtype=np.int64))
+                out[3].append(np.where(freq > hot, 1 + sig[8] % SALTS, 0))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.record_batch([pa.array(np.concatenate(x), k) for x, k in zip(out, kinds, strict=True)], ["token", "cls", "pack", "salt"])
+
+    return run
+
+
+class Bloom:
+    """Which ids may be wanted: 12 bits an id and two probes, at most 32 MB; fuller than that it lets more ids by."""
+
+    def __init__(self, n: int):
+        self.bits = np.zeros(1 << min(25, max(10, (12 * n // 8).bit_length())), np.uint8)
+
+    def _at(self, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        h = mix64(ids.astype(np.int64).view(np.uint64))
+        places = [(h >> np.uint64(s)) & np.uint64(8 * len(self.bits) - 1) for s in (0, 32)]
+        return [((p >> np.uint64(3)).astype(np.int64), (1 << (p & np.uint64(7)).astype(np.uint8)).astype(np.uint8)) for p in places]
+
+    def add(self, ids: np.ndarray) -> None:
+        for at, bit in self._at(ids):
+            np.bitwise_or.at(self.bits, at, bit)
+
+    def may_hold(self, ids: np.ndarray) -> np.ndarray:
+        (a, x), (b, y) = self._at(ids)
+        return (self.bits[a] & x > 0) & (self.bits[b] & y > 0)
+
+
+def _bits(n: int):
+    def run(batches):
+        bloom = Bloom(n)
+        for b in batches:
+            bloom.add(b.column(0).to_numpy())
+        yield pa.record_batch([pa.array([bloom.bits.tobytes()], pa.binary())], ["bits"])
 
     return run
 
 
-def _sets(words: int):
+def _ored(batches):
+    total = None
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            x = np.frombuffer(x, np.uint8)
+            total = x.copy() if total is None else total | x
+    if total is not None:
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["bits"])
+
+
+def _sets(words: int, n: int, bits_b):
+    """id, set, parts of the documents that the filter lets by."""
+
     def run(batches):
+        bloom = Bloom(n)
+        bloom.bits = np.frombuffer(bits_b.value, np.uint8)
         for b in batches:
-            sets = [shingles(t, words) for t in b.column(2).to_pylist()]
+            b = b.filter(pa.array(bloom.may_hold(b.column(0).to_numpy())))
+            sets = [shingles(t, words) for t in b.column(1).to_pylist()]
             parts = [np.bincount((mix64(s) & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) for s in sets]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32()))], ["cls", "rep", "set", "parts"])
+            yield pa.record_batch([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32()))], ["id", "set", "parts"])
 
     return run
 
@@ -118,13 +179,22 @@ def _passes(a: str, b: str, percent: int):
     return (100 * F.least(n(a), n(b)) >= percent * F.greatest(n(a), n(b))) & (F.least(n(a) - at(a), n(b) - at(b)) >= need)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between class representatives among pairs(a, b) of class keys; the suffix filter comes first."""
-    pairs = cut(pairs.distinct())
+def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Links (a, b) between class representatives among pairs(a, b) of class keys; the suffix filter comes first.
+
+    A class has one document's set fetched; a filter of the wanted ids keeps other texts out of the shuffle.
+    """
+    spark, pairs = documents.sparkSession, cut(pairs.distinct())
+    if pairs.isEmpty():
+        return None
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    reps = classes.join(wanted, "cls").select("cls", "rep")
-    texts = reps.join(documents, documents["doc_id"] == reps["rep"]).select("cls", "rep", "text", F.xxhash64("text").alias("h"))
-    sets = cut(texts.mapInArrow(_sets(words), "cls long, rep long, set array<long>, parts array<int>"))
+    reps = cut(classes.join(wanted, "cls").select("cls", "rep"))
+    n = reps.count()
+    bits = reps.select("rep").mapInArrow(_bits(n), "bits binary").repartition(8).mapInArrow(_ored, "bits binary").coalesce(1).mapInArrow(_ored, "bits binary")
+    bits_b = spark.sparkContext.broadcast(bytes(bits.collect()[0][0]))
+    found = documents.mapInArrow(_sets(words, n, bits_b), "id long, set array<long>, parts array<int>")
+    # A repeated id may bring several sets: those of all its rows, of which each is then compared.
+    sets = cut(found.join(reps, found["id"] == reps["rep"]).select("cls", "rep", "set", "parts"))
     side = lambda x: sets.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "set", "parts")))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     need = _needed(F.size("set_a"), F.size("set_b"), percent)
@@ -150,23 +220,29 @@ def jaccard_components(documents: DataFrame, threshold: float = 0.8, words: int
     rows = scanned.where("counts is null").select("doc_id", "n", "sig", "cls")
     classes = cut(rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("cls").alias("cls")))
 
-    posts = cut(documents.where("doc_id is not null").select("text").mapInArrow(_postings(counts_b, words, percent), "token long, cls long, pack long"))
-    pivots = posts.groupBy("token").agg(F.max_by("cls", "pack").alias("p"), F.max("pack").alias("pp"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token", "p", "pp")
-    met = posts.join(pivots, "token").where("cls <> p").where(_passes("pack", "pp", percent))
-    links = _verified(met.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")), classes, documents, words, percent)
+    named = documents.where("doc_id is not null")
+    posts = named.select("text").mapInArrow(_postings(counts_b, words, percent), "token long, cls long, pack long, salt int")
+    # Most shingles occur in one class only and end here, after the one shuffle that all postings go through.
+    near = Window.partitionBy("token", "salt")
+    posts = posts.withColumn("lo", F.min("cls").over(near)).withColumn("hi", F.max("cls").over(near))
+    shared = cut(posts.where("salt > 0 or lo <> hi").select("token", "cls", "pack"))
+    pivots = shared.groupBy("token").agg(F.max_by("cls", "pack").alias("p"), F.max("pack").alias("pp"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token", "p", "pp")
+    met = shared.join(pivots, "token").where("cls <> p").where(_passes("pack", "pp", percent))
+    links = _verified(met.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")), classes, named, words, percent)
+    if links is None:
+        links = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
 
     found = components(links)
     member = classes.join(found, found["id"] == classes["rep"], "left").select("cls", F.coalesce("component", "rep").alias("comp"))
-    label = cut(member.groupBy("cls").agg(F.min("comp").alias("comp")))
-    shared = posts.join(pivots.select("token"), "token")
-    shared = cut(shared.join(label, "cls").distinct())
-    open_ = shared.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y and k > 2").select("token")
-    left = shared.join(open_, "token")
+    label = member.groupBy("cls").agg(F.min("comp").alias("comp"))
+    marked = cut(shared.join(label, "cls").distinct())
+    open_ = marked.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y and k > 2").select("token")
+    left = marked.join(open_, "token")
     a = left.select("token", F.col("cls").alias("a"), F.col("pack").alias("pa"), F.col("comp").alias("ca"))
     b = left.select("token", F.col("cls").alias("b"), F.col("pack").alias("pb"), F.col("comp").alias("cb"))
     rest = a.join(b, (a["token"] == b["token"]) & F.expr("a < b and ca <> cb") & _passes("pa", "pb", percent)).select("a", "b")
-    more = _verified(rest, classes, documents, words, percent)
-    if not more.isEmpty():
+    more = _verified(rest, classes, named, words, percent)
+    if more is not None and not more.isEmpty():
         found = components(links.union(more))
     of = classes.join(found, found["id"] == classes["rep"], "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
     out = rows.drop("cls").join(of, "sig", "left")

@@ -11,7 +11,9 @@ Spark then numbers the pieces within their length and looks their place up in th
 from __future__ import annotations
 
 import functools
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, numbered, table
 
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+
 # --- the plan -----------------------------------------------------------------------------------
 
 
@@ -128,30 +132,43 @@ def tokenizer(path: str):
 class Ids:
     """Token ids of whole texts as little-endian bytes.
 
-    White space always ends a token of this vocabulary, so a text's ids are those of its words in turn; the ids of
-    words seen before are kept, up to a fixed number of words.
+    White space always ends a token of this vocabulary, so a text's ids are those of its words in turn. Ids of words
+    are kept while they are in use, up to two generations of `keep` words.
     """
 
-    def __init__(self, path: str, keep: int = 400_000, longest: int = 48):
-        self.encode, self.known, self.keep, self.longest = tokenizer(path).encode_batch_fast, {}, keep, longest
+    def __init__(self, path: str, keep: int = 350_000, longest: int = 48):
+        self.encode, self.keep, self.longest = tokenizer(path).encode_batch_fast, keep, longest
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        new = list({w for w in words if w not in self.known})
-        if len(self.known) + len(new) > self.keep:
-            self.known, new = {}, list(set(words))
-        ids = [np.array(x.ids, "<u4").tobytes() for x in self.encode(new, add_special_tokens=False)]
-        self.known.update(zip(new, ids, strict=True))
-        out = b"".join(map(self.known.__getitem__, words))
+        young, old = self.young, self.old
+        if new := set(words).difference(young):
+            if len(young) > self.keep:
+                self.young, self.old = {}, young
+                young, old, new = self.young, young, set(words)
+            for w in new.intersection(old):
+                young[w] = old[w]
+            if unseen := list(new.difference(old)):
+                for w, x in zip(unseen, self.encode(unseen, add_special_tokens=False), strict=True):
+                    young[w] = array("I", x.ids).tobytes() if LITTLE else np.array(x.ids, "<u4").tobytes()
+        out = b"".join(map(young.__getitem__, words))
         for w in new:
             if len(w) > self.longest:
-                del self.known[w]
+                del young[w]
         return out
 
 
+@functools.cache
+def ids_of(path: str) -> Ids:
+    """One for each Python worker, which keeps it from task to task."""
+    return Ids(path)
+
+
 def _pieces(path: str, size: int, end: int):
     def run(batches):
-        ids, tail = Ids(path), np.array([end], "<u4").tobytes()
+        ids, tail = ids_of(path), np.array([end], "<u4").tobytes()
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -19,6 +19,8 @@ DIMENSIONS = 8
 #: Labelled rows a class that the model is fitted on, at most.
 SAMPLE = 2000
 EPOCHS = 4
+#: Features of no weight that each average holds besides, so that a few words do not decide alone.
+PRIOR = 32
 RATE = 30.0
 _STEP = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
 
@@ -80,7 +82,7 @@ def _fit(batches):
     for b in batches:
         for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             index, n = np.unique(buckets(text), return_counts=True)
-            rows.append((index, (n / max(1, n.sum())).astype(np.float32), label))
+            rows.append((index, (n / (n.sum() + PRIOR)).astype(np.float32), label))
     logits, bias = train(rows) if rows else (np.zeros(1 << BUCKETS_LOG2, np.float32), 0.0)
     yield pa.record_batch([pa.array([logits.astype(np.float32).tobytes()], pa.binary()), pa.array([bias])], ["logits", "bias"])
 
@@ -116,7 +118,7 @@ def scores(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         means = []
         for t in texts:
             h = buckets(t)
-            means.append(float(logits[h].mean(dtype=np.float64)) if len(h) else 0.0)
+            means.append(float(logits[h].sum(dtype=np.float64)) / (len(h) + PRIOR))
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(means) + bias, -500, 500))), dtype="float64")
 
     return documents.withColumn("score", score(F.col("text").cast("string")))
