@@ -9,8 +9,8 @@ Documents link when 100 * |A & B| >= 100 * threshold * |A | B| over their sets o
 3.  Each class posts the shingles of its prefix with size and position. Per shingle the most central class
     is the pivot, and every other class meets the pivot only: a number of pairs that grows with the postings.
 4.  Pairs that pass the length, positional and suffix filters are verified once, over whole sets.
-5.  Shingles whose classes are then still in several components yield the remaining pairs between classes of
-    different components, which are verified too. No link that could join two components is left out.
+5.  Shingles whose classes are then still in several components get other pivots, twice, and finally yield all the
+    remaining pairs between classes of different components. No link that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from .common import components, cut, mix64, shingles, table
 
 #: Hashed counters: a fixed size, whatever the input.
 COUNTERS = 1 << 18
-PARTS = 16
+#: Bits of a set's parity bitmap.
+BITMAP = 1024
 SALTS = 64
+ROUNDS = 2
 
 
 def _class_of(s: np.ndarray) -> bytes:
@@ -38,14 +40,21 @@ def _key(sig: bytes | None) -> int | None:
     return sig and int.from_bytes(sig[:8], "little", signed=True)
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """One bit a bucket of shingles: whether it holds an odd number of them. The bits in which two sets differ are
+    no more than the shingles in which they differ."""
+    odd = np.bincount((mix64(s) >> np.uint64(54)).astype(np.int64), minlength=BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _scan(words: int):
     """doc_id, n, sig, cls (the key of sig in the postings) of each row; one more row per task holds its counters."""
-    names = ["doc_id", "n", "sig", "cls", "counts"]
+    names = ["doc_id", "n", "sig", "cls", "bits", "counts"]
 
     def run(batches):
         counts, lows, held = np.zeros(COUNTERS, np.int64), [np.empty(0, np.int32)], 0
         for b in batches:
-            ns, sigs = [], []
+            ns, sigs, bits = [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text, words)
                 lows.append((s & np.uint64(COUNTERS - 1)).astype(np.int32))
@@ -54,9 +63,10 @@ def _scan(words: int):
                     lows, held = [np.empty(0, np.int32)], 0
                 ns.append(len(s))
                 sigs.append(_class_of(s) if len(s) else None)
-            yield pa.record_batch([b.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array([_key(x) for x in sigs], pa.int64()), pa.nulls(len(ns), pa.binary())], names)
+                bits.append(_bitmap(s) if len(s) else None)
+            yield pa.record_batch([b.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array([_key(x) for x in sigs], pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(len(ns), pa.binary())], names)
         counts += np.bincount(np.concatenate(lows), minlength=COUNTERS)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
         yield pa.record_batch([*(pa.nulls(1, k) for k in kinds), pa.array([counts.astype(np.uint32).tobytes()], pa.binary())], names)
 
     return run
@@ -70,11 +80,11 @@ def _summed(batches):
     yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["counts"])
 
 
-def _prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+def _prefix(s: np.ndarray, counts: np.ndarray, mean: float, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
     """The prefix from rare to frequent, the counts of its shingles, and how frequent the set is on the whole (0..127)."""
     k = len(s) - -(-percent * len(s) // 100) + 1
     freq = counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    central = int(min(127, 8 * np.log2(1 + freq.mean() / (1 + counts.mean()))))
+    central = int(min(127, 8 * np.log2(1 + freq.mean() / (1 + mean))))
     key = np.minimum(freq, (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | s & np.uint64((1 << 40) - 1)
     least = np.argpartition(key, k - 1)[:k] if k < len(s) else np.arange(len(s))
     if (key <= key[least].max()).sum() == k:
@@ -90,7 +100,8 @@ def _postings(counts_b, words: int, percent: int):
 
     def run(batches):
         counts = np.frombuffer(counts_b.value, np.int64)
-        hot = 16 * counts.mean() + 1000
+        mean = float(counts.mean())
+        hot = 16 * mean + 1000
         seen: set[bytes] = set()
         for b in batches:
             out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
@@ -99,7 +110,7 @@ def _postings(counts_b, words: int, percent: int):
                 if not len(s) or (sig := _class_of(s)) in seen:
                     continue
                 seen.add(sig)
-                order, freq, central = _prefix(s, counts, percent)
+                order, freq, central = _prefix(s, counts, mean, percent)
                 k = len(order)
                 out[0].append(order.view(np.int64))
                 out[1].append(np.full(k, _key(sig)))
@@ -152,7 +163,7 @@ def _ored(batches):
 
 
 def _sets(words: int, n: int, bits_b):
-    """id, set, parts of the documents that the filter lets by."""
+    """id, set of the documents that the filter lets by."""
 
     def run(batches):
         bloom = Bloom(n)
@@ -160,8 +171,7 @@ def _sets(words: int, n: int, bits_b):
         for b in batches:
             b = b.filter(pa.array(bloom.may_hold(b.column(0).to_numpy())))
             sets = [shingles(t, words) for t in b.column(1).to_pylist()]
-            parts = [np.bincount((mix64(s) & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) for s in sets]
-            yield pa.record_batch([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32()))], ["id", "set", "parts"])
+            yield pa.record_batch([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "set"])
 
     return run
 
@@ -179,12 +189,25 @@ def _passes(a: str, b: str, percent: int):
     return (100 * F.least(n(a), n(b)) >= percent * F.greatest(n(a), n(b))) & (F.least(n(a) - at(a), n(b) - at(b)) >= need)
 
 
+def _apart(bits_a: str, bits_b: str):
+    return F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+
+
+def _near(n_a: str, bits_a: str, n_b: str, bits_b: str, percent: int):
+    """Suffix filter: whether the Hamming distance of the whole sets, bound by their bitmaps, leaves enough overlap."""
+    n = F.col(n_a) + F.col(n_b)
+    return F.floor((n - _apart(bits_a, bits_b)) / 2) >= _needed(F.col(n_a), F.col(n_b), percent)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame | None:
     """Links (a, b) between class representatives among pairs(a, b) of class keys; the suffix filter comes first.
 
     A class has one document's set fetched; a filter of the wanted ids keeps other texts out of the shuffle.
     """
-    spark, pairs = documents.sparkSession, cut(pairs.distinct())
+    spark = documents.sparkSession
+    of = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    pairs = pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(_near("n_a", "bits_a", "n_b", "bits_b", percent))
+    pairs = cut(pairs.select("a", "b").distinct())
     if pairs.isEmpty():
         return None
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
@@ -192,15 +215,23 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words:
     n = reps.count()
     bits = reps.select("rep").mapInArrow(_bits(n), "bits binary").repartition(8).mapInArrow(_ored, "bits binary").coalesce(1).mapInArrow(_ored, "bits binary")
     bits_b = spark.sparkContext.broadcast(bytes(bits.collect()[0][0]))
-    found = documents.mapInArrow(_sets(words, n, bits_b), "id long, set array<long>, parts array<int>")
+    found = documents.mapInArrow(_sets(words, n, bits_b), "id long, set array<long>")
     # A repeated id may bring several sets: those of all its rows, of which each is then compared.
-    sets = cut(found.join(reps, found["id"] == reps["rep"]).select("cls", "rep", "set", "parts"))
-    side = lambda x: sets.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "set", "parts")))
+    sets = cut(found.join(reps, found["id"] == reps["rep"]).select("cls", "rep", "set"))
+    side = lambda x: sets.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "set")))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     need = _needed(F.size("set_a"), F.size("set_b"), percent)
-    bound = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return cut(both.where(bound >= need).where(common >= need).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+    return cut(both.where(F.size(F.array_intersect("set_a", "set_b")) >= need).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+
+
+def _open(shared: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """The postings of shingles whose classes are in several components, with comp, the shingle's largest (most), n, bits."""
+    member = classes.join(found, found["id"] == classes["rep"], "left").select("cls", F.coalesce("component", "rep").alias("comp"))
+    label = cut(member.groupBy("cls").agg(F.min("comp").alias("comp")))
+    marked = cut(shared.join(label, "cls").distinct())
+    sizes = marked.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
+    open_ = sizes.groupBy("token").agg(F.max_by("comp", "m").alias("most"), F.count(F.lit(1)).alias("k"), F.sum("m").alias("all")).where("k > 1 and all > 2").select("token", "most")
+    return cut(marked.join(open_, "token").join(classes.select("cls", "n", "bits"), "cls"))
 
 
 def jaccard_components(documents: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
@@ -213,12 +244,12 @@ def jaccard_components(documents: DataFrame, threshold: float = 0.8, words: int
     """
     spark, percent = documents.sparkSession, round(100 * threshold)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = cut(documents.mapInArrow(_scan(words), "doc_id long, n long, sig binary, cls long, counts binary"))
+    scanned = cut(documents.mapInArrow(_scan(words), "doc_id long, n long, sig binary, cls long, bits array<long>, counts binary"))
     parts = scanned.where("counts is not null").select("counts")
     parts = parts.repartition(16).mapInArrow(_summed, "counts binary").coalesce(1).mapInArrow(_summed, "counts binary")
     counts_b = spark.sparkContext.broadcast(bytes(parts.collect()[0][0]))
-    rows = scanned.where("counts is null").select("doc_id", "n", "sig", "cls")
-    classes = cut(rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("cls").alias("cls")))
+    rows = scanned.where("counts is null").select("doc_id", "n", "sig", "cls", "bits")
+    classes = cut(rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("cls").alias("cls"), F.first("n").alias("n"), F.first("bits").alias("bits")))
 
     named = documents.where("doc_id is not null")
     posts = named.select("text").mapInArrow(_postings(counts_b, words, percent), "token long, cls long, pack long, salt int")
@@ -233,19 +264,30 @@ def jaccard_components(documents: DataFrame, threshold: float = 0.8, words: int
         links = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
 
     found = components(links)
-    member = classes.join(found, found["id"] == classes["rep"], "left").select("cls", F.coalesce("component", "rep").alias("comp"))
-    label = member.groupBy("cls").agg(F.min("comp").alias("comp"))
-    marked = cut(shared.join(label, "cls").distinct())
-    open_ = marked.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y and k > 2").select("token")
-    left = marked.join(open_, "token")
-    a = left.select("token", F.col("cls").alias("a"), F.col("pack").alias("pa"), F.col("comp").alias("ca"))
-    b = left.select("token", F.col("cls").alias("b"), F.col("pack").alias("pb"), F.col("comp").alias("cb"))
-    rest = a.join(b, (a["token"] == b["token"]) & F.expr("a < b and ca <> cb") & _passes("pa", "pb", percent)).select("a", "b")
+    for round_ in range(ROUNDS):  # other pivots, one a shingle, join what the central ones left apart
+        left = _open(shared, classes, found)
+        pivot = left.groupBy("token").agg(F.max_by("cls", F.xxhash64("cls", "token", F.lit(round_))).alias("cls_p"))
+        as_pivot = left.select("token", *(F.col(c).alias(f"{c}_p") for c in ("cls", "pack", "comp", "bits", "n")))
+        met = left.join(pivot.join(as_pivot, ["token", "cls_p"]), "token").where(F.col("comp") != F.col("comp_p"))
+        met = met.where(_passes("pack", "pack_p", percent) & _near("n", "bits", "n_p", "bits_p", percent))
+        best = met.groupBy("cls", "comp_p").agg(F.max_by("cls_p", -_apart("bits", "bits_p")).alias("p"))
+        more = _verified(best.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")), classes, named, words, percent)
+        if more is None or more.isEmpty():
+            break
+        links = cut(links.union(more))
+        found = components(links)
+    # All pairs that are left. One side has the postings outside their shingle's largest component: a group that is
+    # together meets none of its own.
+    left = _open(shared, classes, found)
+    side = lambda x: left.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "pack", "comp", "bits", "n", "most")))
+    a, b = side("a").where("comp_a <> most_a"), side("b")
+    apart = F.expr("comp_a <> comp_b and (comp_b = most_b or cls_a < cls_b)") & _passes("pack_a", "pack_b", percent) & _near("n_a", "bits_a", "n_b", "bits_b", percent)
+    rest = a.join(b, (a["token"] == b["token"]) & apart).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
     more = _verified(rest, classes, named, words, percent)
     if more is not None and not more.isEmpty():
         found = components(links.union(more))
     of = classes.join(found, found["id"] == classes["rep"], "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
-    out = rows.drop("cls").join(of, "sig", "left")
+    out = rows.drop("cls", "bits").join(of, "sig", "left")
     linked = F.col("doc_id").isNotNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("rep", "doc_id")).alias("class_id"), F.when(linked, F.coalesce("component", "doc_id")).alias("component_id"))
 
