@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: White space of the word rule `[^\x20\x09-\x0D]+`; bytes.split() splits at exactly these.
-SPACES = " \t\n\x0b\x0c\r"
-
+from ..operators.components import components
+from ..sources.tables import cut, shared_dir, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["SPACES", "components", "cut", "mix64", "n_words", "numbered", "shared_dir", "shingles", "table"]
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='knotwork-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read again from a table in the shared folder: lineage ends here and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/knotwork-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: White space of the word rule `[^\x20\x09-\x0D]+`; bytes.split() splits at exactly these.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 # --- words ------------------------------------------------------------------------------------
@@ -106,29 +88,3 @@ def numbered(df: DataFrame, keys: list[str], order: str, out: str = "rank", per:
     inside = dealt.withColumn("_i", F.coalesce(F.sum(w).over(above), F.lit(0)))
     joined = inside.alias("l").join(starts.alias("r"), same([*keys, "_b"]))
     return joined.select("l.*", (F.col("_s") + F.col("_i")).alias(out)).drop("_b", "_i")
-
-
-# --- connected components -----------------------------------------------------------------------
-
-
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component) of every end of links(a, b); component is the smallest id reachable.
-
-    Alternates large-star and small-star steps. Each is a minimum per node, which Spark sums up before it
-    shuffles, and a join, whose hot nodes adaptive execution splits. Ends when the links no longer change.
-    """
-    e = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
-    for _ in range(most_rounds):
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        e = cut(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).where("u <> v").distinct())
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
-            break
-        mark = tuple(now)
-    roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
