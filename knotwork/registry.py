@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from .plans import graph_queries
+from .plans import corpus_queries, graph_queries
 
-
-def _modules():
-    try:
-        from .plans import corpus_queries
-    except ImportError:
-        return (graph_queries,)
-    return graph_queries, corpus_queries
+MODULES = (graph_queries, corpus_queries)
 
 
 def queries() -> dict:
-    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {k: v for m in _modules() for k, v in m.ORACLES.items()}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
