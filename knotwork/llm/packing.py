@@ -11,6 +11,7 @@ Spark then numbers the pieces within their length and looks their place up in th
 from __future__ import annotations
 
 import functools
+import os
 import sys
 import zlib
 from array import array
@@ -124,6 +125,7 @@ def plan(histogram: dict[int, int], size: int, descents: int = 6) -> list[tuple[
 
 @functools.cache
 def tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task a core already
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -148,8 +150,9 @@ class Ids:
             if len(young) > self.keep:
                 self.young, self.old = {}, young
                 young, old, new = self.young, young, set(words)
-            for w in new.intersection(old):
-                young[w] = old[w]
+            for w in new:  # not new.intersection(old), which walks over all of old
+                if w in old:
+                    young[w] = old[w]
             if unseen := list(new.difference(old)):
                 for w, x in zip(unseen, self.encode(unseen, add_special_tokens=False), strict=True):
                     young[w] = array("I", x.ids).tobytes() if LITTLE else np.array(x.ids, "<u4").tobytes()
