@@ -12,9 +12,7 @@ from __future__ import annotations
 
 import functools
 import os
-import sys
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +21,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, numbered, table
 
-LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
-
 # --- the plan -----------------------------------------------------------------------------------
 
 
@@ -138,11 +134,41 @@ class Ids:
     are kept while they are in use, up to two generations of `keep` words.
     """
 
-    def __init__(self, path: str, keep: int = 350_000, longest: int = 48):
-        self.encode, self.keep, self.longest = tokenizer(path).encode_batch_fast, keep, longest
+    def __init__(self, path: str, keep: int = 500_000, longest: int = 48):
+        self.model, self.keep, self.longest = tokenizer(path), keep, longest
+        ids_of_ = lambda text: np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
+        self.marks = {m: ids_of_(m).tobytes() for m in ("", ".", ",")}
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _plain(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words of letters only, perhaps with a stop or comma after them, from one call for all that are new.
+
+        Such a word is one unit and a unit's last token says so, which tells the words' ids apart. The vocabulary has
+        lower case only, so words of A-Z share their ids with those of a-z.
+        """
+        of: dict[str, tuple[str, str]] = {}
+        for w in words:
+            base, mark = (w[:-1], w[-1]) if w[-1:] in (".", ",") else (w, "")
+            if base.isascii():
+                base = base.lower()
+                if base.isalpha():
+                    of[w] = base, mark
+            elif base.isalpha() and base.lower().isalpha():
+                of[w] = base, mark
+        known = {b: ids for b, _ in of.values() if (ids := self.young.get(b) or self.old.get(b))}
+        new = list({b for b, _ in of.values()}.difference(known))
+        ids = np.array(self.model.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(stops) != len(new):
+            return {}
+        data, cuts = ids.tobytes(), [0, *stops.tolist()]
+        known.update((b, data[x:y]) for b, x, y in zip(new, cuts, cuts[1:], strict=False))
+        return known | {w: known[b] + self.marks[m] for w, (b, m) in of.items()}
+
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").replace("\t", " ").split(" ")
         young, old = self.young, self.old
@@ -153,13 +179,15 @@ class Ids:
             for w in new:  # not new.intersection(old), which walks over all of old
                 if w in old:
                     young[w] = old[w]
-            if unseen := list(new.difference(old)):
-                for w, x in zip(unseen, self.encode(unseen, add_special_tokens=False), strict=True):
-                    young[w] = array("I", x.ids).tobytes() if LITTLE else np.array(x.ids, "<u4").tobytes()
+            if unseen := new.difference(old):
+                young.update(self._plain(unseen))
+                if unseen := [w for w in unseen if w not in young]:
+                    for w, x in zip(unseen, self.model.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
+                        young[w] = np.array(x.ids, "<u4").tobytes()
         out = b"".join(map(young.__getitem__, words))
         for w in new:
             if len(w) > self.longest:
-                del young[w]
+                young.pop(w, None)
         return out
 
 
