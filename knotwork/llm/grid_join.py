@@ -26,20 +26,29 @@ LEADING = 8
 LEAF = 512
 
 
-def _valid(batch: pa.RecordBatch) -> list[tuple[int, np.ndarray]]:
+def _unit(x: np.ndarray) -> np.ndarray | None:
+    """The vector at unit length in double precision; None if it has no direction."""
+    x = x.astype(np.float64)
+    if not np.isfinite(x).all() or not x.any():
+        return None
+    with np.errstate(over="ignore"):
+        norm = np.sqrt(np.dot(x, x))
+    if not (np.isfinite(norm) and norm > 1e-100):  # scaled first, so that squares neither overflow nor vanish
+        x = x / np.abs(x).max()
+        norm = np.sqrt(np.dot(x, x))
+    return x / norm
+
+
+def _valid(batch: pa.RecordBatch) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(id, vector as it is, vector at unit length) of the rows that can link."""
     out = []
     for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
         v = v.values if v.is_valid else None
         if i is None or v is None or not len(v) or v.null_count:
             continue
-        x = v.to_numpy(zero_copy_only=False).astype(np.float64)
-        with np.errstate(over="ignore"):
-            norm = np.sqrt(np.dot(x, x))
-        if not (np.isfinite(norm) and norm > 1e-100) and np.isfinite(x).all() and x.any():
-            x = x / np.abs(x).max()
-            norm = np.sqrt(np.dot(x, x))
-        if np.isfinite(norm) and norm > 0:
-            out.append((i, x / norm))
+        x = v.to_numpy(zero_copy_only=False)
+        if (y := _unit(x)) is not None:
+            out.append((i, x, y))
     return out
 
 
@@ -47,7 +56,7 @@ def _moments(batches):
     """Sums of products of the task's vectors, by dimension."""
     sums: dict[int, np.ndarray] = {}
     for b in batches:
-        for _, x in _valid(b):
+        for _, _, x in _valid(b):
             if len(x) not in sums:
                 sums[len(x)] = np.zeros((len(x), len(x)))
             sums[len(x)] += np.outer(x, x)
@@ -60,18 +69,22 @@ def _turned(axes_b):
         axes = axes_b.value
         for b in batches:
             rows = _valid(b)
-            data = [(axes[len(x)].T @ x if len(x) in axes else x) for _, x in rows]
-            cells = [[int(np.floor(c)) for c in y[:LEADING] * 8] for y in data]
-            yield pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([len(y) for y in data], pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array([y.tobytes() for y in data], pa.binary())], ["id", "d", "cells", "v"])
+            cells = [[int(np.floor(c)) for c in (axes[len(y)][:, :LEADING].T @ y) * 8] for _, _, y in rows]
+            yield pa.record_batch([pa.array([i for i, _, _ in rows], pa.int64()), pa.array([len(y) for _, _, y in rows], pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array([x.tobytes() for _, x, _ in rows], pa.binary())], ["id", "d", "cells", "v"])
 
     return run
 
 
-def _blocks(size: int):
+def _load(data, d: int, kind: str, axes: dict[int, np.ndarray]) -> np.ndarray:
+    """Vectors of a block at unit length, turned to the principal dimensions."""
+    return np.array([_unit(x) for x in np.frombuffer(data, kind).reshape(-1, d)]) @ axes[d]
+
+
+def _blocks(size: int, kind: str, axes_b):
     """Cuts the sorted rows of a partition into blocks of one dimension and at most `size` vectors."""
 
     def block(part, k, d, ids, data):
-        x = np.frombuffer(b"".join(data)).reshape(-1, d)[:, :LEADING]
+        x = _load(b"".join(data), d, kind, axes_b.value)[:, :LEADING]
         return (part, k, d, np.array(ids, np.int64).tobytes(), b"".join(data), x.min(0).tolist(), x.max(0).tolist())
 
     def run(batches):
@@ -103,7 +116,7 @@ def _gap(lo_a, hi_a, lo_b, hi_b) -> np.ndarray:
     return (g * g).sum(-1)
 
 
-def _joined(eps2: float, cosine: float):
+def _joined(eps2: float, cosine: float, kind: str, axes_b):
     """Links inside and between the two blocks of each row."""
 
     def links(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -154,12 +167,13 @@ def _joined(eps2: float, cosine: float):
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                a = np.frombuffer(row["data"]).reshape(len(ids), -1)
-                same = row["ids2"] is None
-                other = ids if same else np.frombuffer(row["ids2"], np.int64)
-                b = a if same else np.frombuffer(row["data2"]).reshape(len(other), -1)
+            for r in range(batch.num_rows):
+                ids, data, ids2, data2, d = (batch.column(c)[r] for c in ("ids", "data", "ids2", "data2", "d"))
+                same = not ids2.is_valid
+                ids = np.frombuffer(ids.as_buffer(), np.int64)
+                other = ids if same else np.frombuffer(ids2.as_buffer(), np.int64)
+                a = _load(data.as_buffer(), d.as_py(), kind, axes_b.value)
+                b = a if same else _load(data2.as_buffer(), d.as_py(), kind, axes_b.value)
                 i, j = links(a, b, same)
                 if not len(i):
                     continue
@@ -216,31 +230,34 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, block: int | Non
     of the other if close, and both report the id's sum. Other columns are not read.
     """
     spark, eps2 = embeddings.sparkSession, 2 - 2 * cosine
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind, cast = ("<f4", "array<float>") if single else ("<f8", "array<double>")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(cast).alias("v"))
     # One d x d table for each dimension that occurs, whatever the number of vectors.
     sums = rows.mapInArrow(_moments, "d int, i int, s array<double>").select("d", "i", F.posexplode("s").alias("j", "x")).groupBy("d", "i", "j").agg(F.sum("x").alias("x"))
     moments: dict[int, np.ndarray] = {}
     for r in sums.collect():
         moments.setdefault(r["d"], np.zeros((r["d"], r["d"])))[r["i"], r["j"]] = r["x"]
     axes = {d: np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy() for d, m in moments.items()}
-    turned = cut(rows.mapInArrow(_turned(spark.sparkContext.broadcast(axes)), "id long, d int, cells array<int>, v binary"))
+    axes_b = spark.sparkContext.broadcast(axes)
+    turned = cut(rows.mapInArrow(_turned(axes_b), "id long, d int, cells array<int>, v binary"))
     n = turned.count()
     # Blocks grow with the input, so that their number, of which the driver holds the boxes, stays small.
     size = block or int(min(16384, max(1024, n // 2048)))
     ordered = turned.repartitionByRange(max(1, -(-n // (4 * size))), "d", "cells", "id").sortWithinPartitions("d", "cells", "id")
-    blocks = cut(ordered.mapInArrow(_blocks(size), "part int, k int, d int, ids binary, data binary, lo array<double>, hi array<double>"))
+    blocks = cut(ordered.mapInArrow(_blocks(size, kind, axes_b), "part int, k int, d int, ids binary, data binary, lo array<double>, hi array<double>"))
     meta = sorted((r["part"], r["k"], r["d"], r["lo"], r["hi"]) for r in blocks.select("part", "k", "d", "lo", "hi").collect())
     wide = lambda x: np.array([v + [0.0] * (LEADING - len(v)) for v in x]).reshape(-1, LEADING)
     meta_b = spark.sparkContext.broadcast((wide([m[3] for m in meta]), wide([m[4] for m in meta]), [m[2] for m in meta], [m[:2] for m in meta]))
     pairs = cut(blocks.select("part", "k").repartition(max(1, min(64, len(meta)))).mapInArrow(_near(meta_b, eps2), "part int, k int, part2 int, k2 int"))
-    one = blocks.select("part", "k", "ids", "data")
+    one = blocks.select("part", "k", "d", "ids", "data")
     two = blocks.select(F.col("part").alias("part2"), F.col("k").alias("k2"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
     twin = (F.col("part") == F.col("part2")) & (F.col("k") == F.col("k2"))
-    both = pairs.join(one, ["part", "k"]).join(two, ["part2", "k2"]).select("ids", "data", F.when(~twin, F.col("ids2")).alias("ids2"), F.when(~twin, F.col("data2")).alias("data2"))
+    both = pairs.join(one, ["part", "k"]).join(two, ["part2", "k2"]).select("d", "ids", "data", F.when(~twin, F.col("ids2")).alias("ids2"), F.when(~twin, F.col("data2")).alias("data2"))
     key, was = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set(key, "16")  # rows of megabytes
+    spark.conf.set(key, "4")  # rows of megabytes
     try:
-        found = cut(both.mapInArrow(_joined(eps2, cosine), "id long, n long, root long"))
+        found = cut(both.mapInArrow(_joined(eps2, cosine, kind, axes_b), "id long, n long, root long"))
     finally:
         spark.conf.set(key, was)
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
