@@ -77,7 +77,15 @@ def _turned(axes_b):
 
 def _load(data, d: int, kind: str, axes: dict[int, np.ndarray]) -> np.ndarray:
     """Vectors of a block at unit length, turned to the principal dimensions."""
-    return np.array([_unit(x) for x in np.frombuffer(data, kind).reshape(-1, d)]) @ axes[d]
+    raw = np.frombuffer(data, kind).reshape(-1, d)
+    x = raw.astype(np.float64)
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        norms = np.sqrt(np.einsum("ij,ij->i", x, x))
+        odd = np.flatnonzero(~(np.isfinite(norms) & (norms > 1e-100)))
+        x /= norms[:, None]
+    for i in odd:
+        x[i] = _unit(raw[i])
+    return x @ axes[d]
 
 
 def _blocks(size: int, kind: str, axes_b):
