@@ -224,11 +224,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words:
     return cut(both.where(F.size(F.array_intersect("set_a", "set_b")) >= need).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
 
 
-def _open(shared: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """The postings of shingles whose classes are in several components, with comp, the shingle's largest (most), n, bits."""
+def _open(postings: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """The postings of shingles whose classes are in several components, with comp, the shingle's largest (most), n, bits.
+
+    Components only grow together, so a shingle that is left out once need not be looked at again.
+    """
     member = classes.join(found, found["id"] == classes["rep"], "left").select("cls", F.coalesce("component", "rep").alias("comp"))
     label = cut(member.groupBy("cls").agg(F.min("comp").alias("comp")))
-    marked = cut(shared.join(label, "cls").distinct())
+    marked = cut(postings.select("token", "cls", "pack").join(label, "cls"))
     sizes = marked.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
     open_ = sizes.groupBy("token").agg(F.max_by("comp", "m").alias("most"), F.count(F.lit(1)).alias("k"), F.sum("m").alias("all")).where("k > 1 and all > 2").select("token", "most")
     return cut(marked.join(open_, "token").join(classes.select("cls", "n", "bits"), "cls"))
@@ -255,8 +258,9 @@ def jaccard_components(documents: DataFrame, threshold: float = 0.8, words: int
     posts = named.select("text").mapInArrow(_postings(counts_b, words, percent), "token long, cls long, pack long, salt int")
     # Most shingles occur in one class only and end here, after the one shuffle that all postings go through.
     near = Window.partitionBy("token", "salt")
+    posts = posts.withColumn("before", F.lag("cls").over(near.orderBy("cls")))  # tasks drop copies on their own only
     posts = posts.withColumn("lo", F.min("cls").over(near)).withColumn("hi", F.max("cls").over(near))
-    shared = cut(posts.where("salt > 0 or lo <> hi").select("token", "cls", "pack"))
+    shared = cut(posts.where("(salt > 0 or lo <> hi) and not before <=> cls").select("token", "cls", "pack"))
     pivots = shared.groupBy("token").agg(F.max_by("cls", "pack").alias("p"), F.max("pack").alias("pp"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token", "p", "pp")
     met = shared.join(pivots, "token").where("cls <> p").where(_passes("pack", "pp", percent))
     links = _verified(met.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")), classes, named, words, percent)
@@ -264,8 +268,9 @@ def jaccard_components(documents: DataFrame, threshold: float = 0.8, words: int
         links = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
 
     found = components(links)
+    left = shared
     for round_ in range(ROUNDS):  # other pivots, one a shingle, join what the central ones left apart
-        left = _open(shared, classes, found)
+        left = _open(left, classes, found)
         pivot = left.groupBy("token").agg(F.max_by("cls", F.xxhash64("cls", "token", F.lit(round_))).alias("cls_p"))
         as_pivot = left.select("token", *(F.col(c).alias(f"{c}_p") for c in ("cls", "pack", "comp", "bits", "n")))
         met = left.join(pivot.join(as_pivot, ["token", "cls_p"]), "token").where(F.col("comp") != F.col("comp_p"))
@@ -278,7 +283,7 @@ def jaccard_components(documents: DataFrame, threshold: float = 0.8, words: int
         found = components(links)
     # All pairs that are left. One side has the postings outside their shingle's largest component: a group that is
     # together meets none of its own.
-    left = _open(shared, classes, found)
+    left = _open(left, classes, found)
     side = lambda x: left.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "pack", "comp", "bits", "n", "most")))
     a, b = side("a").where("comp_a <> most_a"), side("b")
     apart = F.expr("comp_a <> comp_b and (comp_b = most_b or cls_a < cls_b)") & _passes("pack_a", "pack_b", percent) & _near("n_a", "bits_a", "n_b", "bits_b", percent)
