@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..sources.tables import cut, shared_dir, table
 
-__all__ = ["SPACES", "components", "cut", "mix64", "n_words", "numbered", "shared_dir", "shingles", "table"]
+__all__ = ["SPACES", "bounded_batches", "components", "cut", "mix64", "n_words", "numbered", "shared_dir", "shingles", "table"]
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`; bytes.split() splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 
 
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """No more rows in an Arrow batch than this: whole texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 # --- words ------------------------------------------------------------------------------------
 
 _MIX = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix64, shingles, table
+from .common import bounded_batches, components, cut, mix64, shingles, table
 
 #: Hashed counters: a fixed size, whatever the input.
 COUNTERS = 1 << 18
@@ -246,6 +246,7 @@ def jaccard_components(documents: DataFrame, threshold: float = 0.8, words: int
     Other columns are not read, whatever their names.
     """
     spark, percent = documents.sparkSession, round(100 * threshold)
+    bounded_batches(spark)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = cut(documents.mapInArrow(_scan(words), "doc_id long, n long, sig binary, cls long, bits array<long>, counts binary"))
     parts = scanned.where("counts is not null").select("counts")
@@ -263,7 +264,9 @@ def jaccard_components(documents: DataFrame, threshold: float = 0.8, words: int
     shared = cut(posts.where("(salt > 0 or lo <> hi) and not before <=> cls").select("token", "cls", "pack"))
     pivots = shared.groupBy("token").agg(F.max_by("cls", "pack").alias("p"), F.max("pack").alias("pp"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token", "p", "pp")
     met = shared.join(pivots, "token").where("cls <> p").where(_passes("pack", "pp", percent))
-    links = _verified(met.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")), classes, named, words, percent)
+    # Of a class's pivots, the one it shares most with: no more pairs than classes in a round.
+    best = met.groupBy("cls", "p").agg(F.count(F.lit(1)).alias("k")).groupBy("cls").agg(F.max_by("p", "k").alias("p"))
+    links = _verified(best.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")), classes, named, words, percent)
     if links is None:
         links = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
 
@@ -275,7 +278,7 @@ def jaccard_components(documents: DataFrame, threshold: float = 0.8, words: int
         as_pivot = left.select("token", *(F.col(c).alias(f"{c}_p") for c in ("cls", "pack", "comp", "bits", "n")))
         met = left.join(pivot.join(as_pivot, ["token", "cls_p"]), "token").where(F.col("comp") != F.col("comp_p"))
         met = met.where(_passes("pack", "pack_p", percent) & _near("n", "bits", "n_p", "bits_p", percent))
-        best = met.groupBy("cls", "comp_p").agg(F.max_by("cls_p", -_apart("bits", "bits_p")).alias("p"))
+        best = met.groupBy("cls").agg(F.max_by("cls_p", -_apart("bits", "bits_p")).alias("p"))
         more = _verified(best.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")), classes, named, words, percent)
         if more is None or more.isEmpty():
             break

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, table
+from .common import bounded_batches, cut, numbered, table
 
 # --- the plan -----------------------------------------------------------------------------------
 
@@ -134,7 +134,7 @@ class Ids:
     are kept while they are in use, up to two generations of `keep` words.
     """
 
-    def __init__(self, path: str, keep: int = 500_000, longest: int = 48):
+    def __init__(self, path: str, keep: int = 300_000, longest: int = 48):
         self.model, self.keep, self.longest = tokenizer(path), keep, longest
         ids_of_ = lambda text: np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
         self.marks = {m: ids_of_(m).tobytes() for m in ("", ".", ",")}
@@ -221,6 +221,7 @@ def pack(documents: DataFrame, tokenizer_path: str, size: int = 4096, end: int =
     Other columns are not read. Only documents longer than `size` are cut.
     """
     spark = documents.sparkSession
+    bounded_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = docs.mapInArrow(_pieces(tokenizer_path, size, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
     rows = cut(rows.withColumn("_k", F.lpad(F.hex(F.xxhash64("doc_id", "piece", "ids_crc32")), 16, "0")))
