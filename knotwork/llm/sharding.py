@@ -57,7 +57,7 @@ def shard(documents: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of documents(doc_id, text).
 
     Null and empty texts have size 1 and are equal. Rows that repeat an id are documents of their own. Shards differ by
-    one row at most; a group is cut only where it would not fit. Other columns are not read.
+    one row at most; groups stay together as far as the quotas let them move. Other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text).alias("g"))
