@@ -39,8 +39,11 @@ def propagate(state: DataFrame, shards: int, room: int, rounds: int = 8) -> Data
         if not m:
             break
         back = {p: min(n, m.get(p[::-1], 0)) for p, n in m.items()}
-        more = {t: sum(n - back[p] for p, n in m.items() if p[1] == t) for t in range(shards)}
-        quota = {p: back[p] + min(n - back[p], free[p[1]] * (n - back[p]) // max(1, more[p[1]])) for p, n in m.items()}
+        quota, room_left = {}, list(free)
+        for (s, t), n in sorted(m.items(), key=lambda x: (-x[1], x[0])):  # what doesn't come back takes the room left, large flows first
+            extra = min(n - back[s, t], room_left[t])
+            room_left[t] -= extra
+            quota[s, t] = back[s, t] + extra
         if not any(quota.values()):
             break
         given = F.lit(0)
