@@ -9,8 +9,10 @@ Documents link when 100 * |A & B| >= 100 * threshold * |A | B| over their sets o
 3.  Each class posts the shingles of its prefix with size and position. Per shingle the most central class
     is the pivot, and every other class meets the pivot only: a number of pairs that grows with the postings.
 4.  Pairs that pass the length, positional and suffix filters are verified once, over whole sets.
+    In the first round a class is compared with the pivot it shares most with; pairs of shingles that only two classes
+    have and that were not compared then are kept for the end.
 5.  Shingles whose classes are then still in several components get other pivots, twice, and finally yield all the
-    remaining pairs between classes of different components. No link that could join two components is left out.
+    remaining pairs between classes of different components, with the kept ones. No link that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -224,14 +226,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words:
     return cut(both.where(F.size(F.array_intersect("set_a", "set_b")) >= need).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
 
 
+def _labels(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """cls, comp: the component of each class."""
+    member = classes.join(found, found["id"] == classes["rep"], "left").select("cls", F.coalesce("component", "rep").alias("comp"))
+    return cut(member.groupBy("cls").agg(F.min("comp").alias("comp")))
+
+
 def _open(postings: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """The postings of shingles whose classes are in several components, with comp, the shingle's largest (most), n, bits.
 
+    A shingle of two classes has one pair, which met its pivot in round one; the caller keeps those not verified there.
     Components only grow together, so a shingle that is left out once need not be looked at again.
     """
-    member = classes.join(found, found["id"] == classes["rep"], "left").select("cls", F.coalesce("component", "rep").alias("comp"))
-    label = cut(member.groupBy("cls").agg(F.min("comp").alias("comp")))
-    marked = cut(postings.select("token", "cls", "pack").join(label, "cls"))
+    marked = cut(postings.select("token", "cls", "pack").join(_labels(classes, found), "cls"))
     sizes = marked.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
     open_ = sizes.groupBy("token").agg(F.max_by("comp", "m").alias("most"), F.count(F.lit(1)).alias("k"), F.sum("m").alias("all")).where("k > 1 and all > 2").select("token", "most")
     return cut(marked.join(open_, "token").join(classes.select("cls", "n", "bits"), "cls"))
@@ -262,11 +269,15 @@ def jaccard_components(documents: DataFrame, threshold: float = 0.8, words: int
     posts = posts.withColumn("before", F.lag("cls").over(near.orderBy("cls")))  # tasks drop copies on their own only
     posts = posts.withColumn("lo", F.min("cls").over(near)).withColumn("hi", F.max("cls").over(near))
     shared = cut(posts.where("(salt > 0 or lo <> hi) and not before <=> cls").select("token", "cls", "pack"))
-    pivots = shared.groupBy("token").agg(F.max_by("cls", "pack").alias("p"), F.max("pack").alias("pp"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token", "p", "pp")
+    pivots = shared.groupBy("token").agg(F.max_by("cls", "pack").alias("p"), F.max("pack").alias("pp"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "p", "pp", (F.col("m") == 2).alias("two"))
     met = shared.join(pivots, "token").where("cls <> p").where(_passes("pack", "pp", percent))
     # Of a class's pivots, the one it shares most with: no more pairs than classes in a round.
-    best = met.groupBy("cls", "p").agg(F.count(F.lit(1)).alias("k")).groupBy("cls").agg(F.max_by("p", "k").alias("p"))
-    links = _verified(best.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")), classes, named, words, percent)
+    # The other pairs of shingles that only two classes have are kept: no later pivot brings them together.
+    ends = [F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")]
+    met = cut(met.groupBy("cls", "p").agg(F.count(F.lit(1)).alias("k"), F.max("two").alias("two")))
+    first = cut(met.groupBy("cls").agg(F.max_by("p", "k").alias("p")).select(*ends).distinct())
+    twos = cut(met.where("two").select(*ends).distinct().join(first, ["a", "b"], "left_anti"))
+    links = _verified(first, classes, named, words, percent)
     if links is None:
         links = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
 
@@ -291,7 +302,10 @@ def jaccard_components(documents: DataFrame, threshold: float = 0.8, words: int
     a, b = side("a").where("comp_a <> most_a"), side("b")
     apart = F.expr("comp_a <> comp_b and (comp_b = most_b or cls_a < cls_b)") & _passes("pack_a", "pack_b", percent) & _near("n_a", "bits_a", "n_b", "bits_b", percent)
     rest = a.join(b, (a["token"] == b["token"]) & apart).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
-    more = _verified(rest, classes, named, words, percent)
+    comp = _labels(classes, found)
+    of = lambda x: comp.select(F.col("cls").alias(x), F.col("comp").alias(f"comp_{x}"))
+    twos = twos.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select("a", "b")
+    more = _verified(rest.union(twos), classes, named, words, percent)
     if more is not None and not more.isEmpty():
         found = components(links.union(more))
     of = classes.join(found, found["id"] == classes["rep"], "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))

@@ -40,6 +40,25 @@ def test_jaccard_brute(spark):
     assert all(got[i]["n_shingles"] == len(sets[i]) for i in sets)
 
 
+def test_jaccard_links_by_a_shingle_of_two_classes(spark):
+    """b links with a only; their one early common passage is in no third text, and b shares more of its prefix with d."""
+    texts = []
+    for case in range(5):
+        say = lambda kind, n, c=case: [f"{kind}{c}_{i}" for i in range(n)]
+        group, edit, passage, plate = say("t", 194), say("e", 6), say("p", 16), say("h", 184)
+        a, b, d = group + edit, group[:80] + passage + group[96:] + edit, passage + plate
+        texts += [a, b, d, *(group + [f"g{case}_{i}"] for i in range(8)), *(plate + [f"x{case}_{i}"] for i in range(40))]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    root = [min(k for k, r in enumerate(root) if r == x) for x in root]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(documents(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert root[1] == 0 and [got[i] for i in range(len(texts))] == root
+
+
 def test_jaccard_cases(spark):
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(documents(spark, CASES)).collect())
     assert len(got) == len(CASES)
