@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -25,6 +25,14 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9._@/-])(?=[A-Za-z._@/-]{0,63}[0-9])[A-Za-z0-9][A-Za-z0-9._@/-]{3,62}[A-Za-z0-9](?![A-Za-z0-9])")
+#: Stands for base spans where runs are looked for.
+_GONE = "\ue000"
+_RUNS = (
+    re.compile(r"(?<![A-Za-z0-9._%+\ue000-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?"),
+    re.compile(r"(?<![A-Za-z0-9\ue000])[0-9]++[.:][0-9.:]*[0-9](?![A-Za-z0-9\ue000])"),
+    re.compile(r"(?<![A-Za-z0-9_@/\ue000])\+?\(?[0-9][0-9 ().-]*[0-9](?![A-Za-z0-9\ue000])"),  # all that a shape allows
+    re.compile(r"(?<![A-Za-z0-9_@/\ue000])\+?\(?[0-9]+(?:(?:[ .-]|\)[ .-]?|[ .-]?\()[0-9]+)+(?![A-Za-z0-9\ue000])"),  # one sign apart
+)
 _WORD = re.compile(r"\S+")
 _EDGE = " \t\n.,;:!?()[]{}<>\"'|#$%&*=-"
 
@@ -96,17 +104,32 @@ def _contexts(text: str, start: int, end: int) -> list[str]:
     return [f"{two} {one} _", f"{one} _ {right}"]
 
 
+def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What may be an unseen identifier, by start: tokens with a digit, local@name, and digits with signs between them."""
+    found, rest, at = {m.span() for m in _TOKEN.finditer(text)}, [], 0
+    for _, s, e in sorted(base, key=lambda x: x[1:]):
+        if e > at:
+            rest += [text[at:s], _GONE * (e - max(at, s))]
+            at = e
+    rest = "".join(rest) + text[at:]
+    for form in _RUNS:
+        for m in form.finditer(rest):
+            s, e = m.span()
+            found.add((s + (rest[s] == "(" and ")" not in m.group()), e))
+    return sorted(found)
+
+
 def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds and other identifier-like tokens with their contexts."""
     if not _ANY.search(text):
         return []
     out = [{"kind": k, "start": s, "end": e, "inst": text[s:e].lower()[:256], "ctx": _contexts(text, s, e)} for k, s, e in base]
     taken, i = sorted((s, e) for _, s, e in base), 0
-    for m in _TOKEN.finditer(text):
-        while i < len(taken) and taken[i][1] <= m.start():
+    for start, end in _candidates(text, base):
+        while i < len(taken) and taken[i][1] <= start:
             i += 1
-        if i == len(taken) or taken[i][0] >= m.end():
-            out.append({"kind": -1, "start": m.start(), "end": m.end(), "inst": m.group().lower(), "ctx": _contexts(text, m.start(), m.end())})
+        if i == len(taken) or taken[i][0] >= end:
+            out.append({"kind": -1, "start": start, "end": end, "inst": text[start:end].lower(), "ctx": _contexts(text, start, end)})
     return out
 
 
@@ -126,7 +149,7 @@ def _scan(batches):
 
 
 #: What a span must look like to be taken for a kind.
-_SHAPE = {0: "@", 1: r"^[0-9]+[.:][0-9.:]+$", 2: r"^[0-9][0-9 -]{10,}[0-9]$", 3: r"^\+?[0-9][0-9 ().-]{5,}[0-9]$"}
+_SHAPE = {0: "@", 1: r"^[0-9]+[.:][0-9.:]+$", 2: r"^[0-9][0-9 -]{10,}[0-9]$", 3: r"^\+?\(?[0-9][0-9 ().-]{5,}[0-9]$"}
 
 
 def discovered(scanned: DataFrame, rounds: int = 3, least_seeds: int = 3, confidence: float = 0.8) -> DataFrame:
@@ -149,6 +172,9 @@ def discovered(scanned: DataFrame, rounds: int = 3, least_seeds: int = 3, confid
     for kind, shape in _SHAPE.items():
         looks = looks | ((F.col("kind") == kind) & F.col("inst").rlike(shape))
     best = hits.where(looks).groupBy("doc_id", "th", "start", "end").agg(F.max(F.struct("conf", -F.col("kind"))).alias("m"))
+    # Of spans inside each other the longest counts.
+    above = Window.partitionBy("doc_id", "th").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("_to", F.max("end").over(above)).where("_to is null or _to < end")
     span = F.struct((-F.col("m")["col2"]).cast("int").alias("k"), F.col("start").alias("s"), F.col("end").alias("e"))
     return cut(best.groupBy("doc_id", "th").agg(F.collect_list(span).alias("found")))
 

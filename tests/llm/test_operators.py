@@ -142,6 +142,30 @@ def test_pii_discovers_by_context(spark):
     assert clean[100] == "please call our desk on [PHONE] before noon" and clean[102] is None
 
 
+def test_pii_discovers_spaced_bracketed_and_digitless(spark):
+    luhn = [f"{v:016d}" for v in range(4111000000000000, 4111000000000400) if pii._luhn(f"{v:016d}")][:20]
+    rows = [(i, f"please call our desk on +1 (212) 555-{1000 + i} before noon") for i in range(20)]
+    rows += [(20 + i, f"you may charge card {' '.join(re.findall('....', v))} for this order") for i, v in enumerate(luhn)]
+    rows += [(40 + i, f"then write mail to user{i}@example.com about it") for i in range(20)]
+    unseen = {100: "(212) 555-9999", 101: "0171 234 5678", 102: "0171.234.5678", 103: "4111 0000 0000 0001", 104: "alice@localhost"}
+    kind = {103: "card", 104: "email"}
+    around = {"phone": "please call our desk on {} before noon", "card": "you may charge card {} for this order", "email": "then write mail to {} about it"}
+    texts = {i: around[kind.get(i, "phone")].format(v) for i, v in unseen.items()}
+    texts[105] = "host 10.0.0.1 0171 234 5678 of 3 (4) alice@localhost"
+    got = {r["doc_id"]: r for r in pii.extract(documents(spark, rows + list(texts.items()))).collect()}
+    for i, v in unseen.items():
+        at = texts[i].index(v)
+        assert got[i]["spans"] == f"{kind.get(i, 'phone')}:{at}:{at + len(v)}" and got[i]["n_found"] == 1
+    assert got[105]["n_found"] == 0 and got[105]["spans"] == "ip:5:13"
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(documents(spark, rows + list(texts.items()))).collect()}
+    assert clean[100] == "please call our desk on [PHONE] before noon" and clean[104] == "then write mail to [EMAIL] about it"
+
+
+def test_pii_candidates_of_long_runs_are_linear():
+    for text in ("a" * 10**6 + "@", "1" * 10**6, "1" * 10**6 + "x", "1." * 10**5, "1:" * 10**5 + "x", "+1" + " " * 10**6, "1 (" * 10**5, "a@" * 10**5, "(1) " * 10**5 + "2x"):
+        pii._candidates(text, [])
+
+
 def test_pii_long_runs_are_linear():
     for text in ("a" * 10**6 + "@", "1" * 10**6, "1." * 10**5, "+1" + " " * 10**6, "a@" * 10**5):
         pii.base_spans(text)
