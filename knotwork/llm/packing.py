@@ -3,15 +3,18 @@
 Packing depends on lengths only, and there are at most `size` of them. So the plan is made from the histogram
 of lengths, which is small for any input: take the largest length left, enumerate its undominated fillings,
 use the best one as often as the counts allow, go on. Every such step uses up a length class; the plan is a
-list of patterns with how often each is used. Branch and bound: the best-fit descent is the incumbent, other
-descents take a worse filling at one step and are dropped once their waste exceeds what the incumbent allows.
+list of patterns with how often each is used. The best-fit descent is the incumbent, other descents take a worse
+filling at one step. If they need more bins than the lower bound, branch and bound goes over all undominated fillings
+of every step, until the bound is met, the tree is exhausted or WORK is used up.
 Spark then numbers the pieces within their length and looks their place up in the plan.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import os
+from bisect import bisect_right
 import zlib
 
 import numpy as np
@@ -21,6 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, numbered, table
 
+#: Steps of the branch and bound: lengths looked at. Some seconds; small histograms are exhausted long before.
+WORK = 5_000_000
+
 # --- the plan -----------------------------------------------------------------------------------
 
 
@@ -95,7 +101,116 @@ def _descend(counts: np.ndarray, size: int, worse_at: int, bound: float) -> list
                 return None
 
 
-def plan(histogram: dict[int, int], size: int, descents: int = 6) -> list[tuple[tuple[int, ...], int]]:
+def least_bins(counts: np.ndarray, size: int) -> int:
+    """The lower bound of Martello and Toth (L2), with that of the total."""
+    lengths = np.arange(size + 1)
+    n, total = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(counts * lengths)))
+    a = np.arange(size // 2 + 1)  # items above size - a are alone; those of a to half a size fill up the larger ones
+    large, alone = n[size + 1] - n[size // 2 + 1], n[size + 1] - n[size - a + 1]
+    free = (large - alone) * size - (total[size - a + 1] - total[size // 2 + 1])
+    return int(max((large + np.maximum(0, -((free - (total[size // 2 + 1] - total[a])) // size))).max(), -(-int(total[-1]) // size)))
+
+
+class _Spent(Exception):
+    """The work allowed is used up."""
+
+
+def _completions(counts: np.ndarray, room: int, slack: int, work: list[int]):
+    """(waste, lengths) of all fillings that waste no more than slack, but for those that another dominates.
+
+    A filling is dominated if one of its items, a pair of them or nothing can give way to one larger item that is left:
+    what it displaces fits where that item would have gone.
+    """
+    up = np.flatnonzero(counts[: room + 1])
+    sums = np.concatenate(([0], np.cumsum(up * counts[up]))).tolist()
+    up, have = up.tolist(), {x: int(counts[x]) for x in up.tolist()}
+    work[0] -= 64 + len(up)
+
+    def dominated(items: list[int], waste: int) -> bool:
+        kinds = sorted(set(items))
+        pairs = {x + y for i, x in enumerate(kinds) for y in kinds[i:] if x != y or items.count(x) > 1}
+        for x, least in {(0, 1), *((x, x + 1) for x in kinds), *((x, x) for x in pairs)}:
+            at = bisect_right(up, least - 1)
+            while at < len(up) and up[at] <= x + waste:
+                work[0] -= 1
+                if have[up[at]] > items.count(up[at]):
+                    return True
+                at += 1
+        return False
+
+    def grow(upto: int, left: int, items: list[int]):
+        if left <= slack and not dominated(items, left):
+            yield left, tuple(items)
+        for at in range(min(upto, bisect_right(up, left)) - 1, -1, -1):
+            work[0] -= 1
+            if work[0] < 0:
+                raise _Spent
+            if left - sums[at + 1] > slack:
+                return
+            x = up[at]
+            for n in range(min(have[x], left // x), 0, -1):
+                yield from grow(at, left - n * x, items + [x] * n)
+
+    return grow(len(up), room, [])
+
+
+def _search(counts: np.ndarray, size: int, best: list, least: int, work: int) -> list[tuple[tuple[int, ...], int]]:
+    """The best plan: branch and bound over all undominated fillings of the largest item left.
+
+    A filling is taken as often as it can be and, on the way back, once: the latter alone is the whole tree.
+    """
+    counts, budget, total = counts.copy(), [work], int((counts * np.arange(size + 1)).sum())
+    bound, seen, path, stack = sum(n for _, n in best), {}, [], []
+    used = waste = 0
+
+    def choices(slack: int):
+        top = int(np.flatnonzero(counts)[-1])
+        counts[top] -= 1
+        found = _completions(counts, size - top, slack, budget)
+        counts[top] += 1
+        for lost, items in found:
+            whole = (top, *items)
+            kinds, need = np.unique(whole, return_counts=True)
+            most = int((counts[kinds] // need).min())
+            for times in (most, 1) if most > 1 else (1,):
+                yield whole, times, lost * times, kinds, need * times
+
+    try:
+        stack.append(choices((bound - 1) * size - total))
+        while stack:
+            step = next(stack[-1], None)
+            if step is None:
+                stack.pop()
+                if path:
+                    _, times, lost, kinds, need = path.pop()
+                    counts[kinds] += need
+                    used, waste = used - times, waste - lost
+                continue
+            whole, times, lost, kinds, need = step
+            slack = (bound - 1) * size - total - waste - lost
+            if slack < 0:
+                continue
+            counts[kinds] -= need
+            if not counts.any():
+                best, bound = [(x[0], x[1]) for x in [*path, step]], used + times
+                if bound <= least:
+                    return best
+                counts[kinds] += need
+                continue
+            key = hashlib.blake2b(counts.tobytes(), digest_size=16).digest()
+            if seen.get(key, used + times + 1) <= used + times:
+                counts[kinds] += need
+                continue
+            seen[key] = used + times
+            path.append(step)
+            used, waste = used + times, waste + lost
+            stack.append(choices(slack))
+    except _Spent:
+        pass
+    return best
+
+
+def plan(histogram: dict[int, int], size: int, descents: int = 6, work: int = WORK) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, how often) of the bins; every item is placed once and no bin exceeds size."""
     counts = np.zeros(size + 1, np.int64)
     for length, n in histogram.items():
@@ -103,17 +218,16 @@ def plan(histogram: dict[int, int], size: int, descents: int = 6) -> list[tuple[
     if not counts.any():
         return []
     total = int((counts * np.arange(size + 1)).sum())
-    big = np.flatnonzero(counts[size // 2 + 1 :])
-    least = max(-(-total // size), int(counts[size // 2 + 1 :].sum()) if len(big) else 0)
+    least = least_bins(counts, size)
     best = _descend(counts, size, -1, float("inf"))
     bins = lambda p: sum(n for _, n in p)
     for worse_at in range(descents):
         if bins(best) <= least:
-            break
+            return best
         other = _descend(counts, size, worse_at, (bins(best) - 1) * size - total)
         if other is not None and bins(other) < bins(best):
             best = other
-    return best
+    return best if bins(best) <= least else _search(counts, size, best, least, work)
 
 
 # --- tokens -------------------------------------------------------------------------------------

@@ -110,6 +110,26 @@ def test_plan_is_optimal_where_it_can_be():
     assert sum(n for _, n in plan) == 6 and all(sum(x) <= 10 for x, _ in plan)
 
 
+def test_plan_searches_all_fillings():
+    exact = packing.plan(dict.fromkeys([2000, 1096, 1000, 1900, 1296, 900, 1700, 1196, 1200], 1), 4096)
+    assert sum(n for _, n in exact) == 3
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        size = int(rng.integers(12, 60))
+        items = sorted(map(int, rng.integers(2, size // 2 + 3, int(rng.integers(5, 11)))), reverse=True)
+        counts = {x: items.count(x) for x in set(items)}
+        plan = packing.plan(counts, size)
+        placed = sorted((x for whole, n in plan for x in whole * n), reverse=True)
+        assert placed == items and all(sum(x) <= size for x, _ in plan)
+        fits = {()}  # the free rooms of all ways to place the items so far
+        for x in items:
+            fits = {tuple(sorted((*r[:i], r[i] - x, *r[i + 1 :]))) for r in fits for i in range(len(r)) if r[i] >= x} | {tuple(sorted((*r, size - x))) for r in fits}
+            few = min(map(len, fits))
+            fits = {r for r in fits if len(r) <= few + 2}
+        assert sum(n for _, n in plan) == min(map(len, fits))
+        assert packing.least_bins(np.array([counts.get(i, 0) for i in range(size + 1)]), size) <= min(map(len, fits))
+
+
 def test_tokens_equal_the_tokenizer():
     ids, model = packing.Ids(packing.default_path(), keep=8), packing.tokenizer(packing.default_path())
     for text in ["", " ", "The cat. the CAT, don't 12.5 ...", "É é ΣΑΣ́ x\ty\nz" * 3, "a" * 200]:
