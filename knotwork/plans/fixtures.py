@@ -98,6 +98,12 @@ def bipartite_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.concat(F.lit("order_"), "l_orderkey").alias("a"), F.concat(F.lit("part_"), "l_partkey").alias("b")).distinct()
 
 
+def whole_bipartite_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All distinct edges of orders and parts."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.concat(F.lit("order_"), "l_orderkey").alias("a"), F.concat(F.lit("part_"), "l_partkey").alias("b")).distinct()
+
+
 # --- the same for DuckDB ------------------------------------------------------------------------
 
 NORM = "lower(regexp_replace(regexp_replace({}, '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'))"

@@ -10,7 +10,7 @@ from ..operators import analyze, cluster, query, traverse
 from ..operators.components import components
 from ..operators.graph import PropertyGraph, merge_graphs, merge_nodes, resolve
 from ..sources.tables import cut, table
-from .fixtures import BASE, NORM, SQL, bipartite_edges, commerce, commerce_edges, commerce_nodes, once
+from .fixtures import BASE, NORM, SQL, bipartite_edges, commerce, commerce_edges, commerce_nodes, once, whole_bipartite_edges
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -363,6 +363,11 @@ def connected_components(spark, d):
     return components(bipartite_edges(spark, d))
 
 
+@register()
+def connected_components_whole(spark, d):
+    return components(whole_bipartite_edges(spark, d))
+
+
 @register("SELECT arg_max(l_quantity, ord_) AS quantity, arg_max(l_tax, ord_) AS tax, 'part_' || l_partkey AS id, min(ord_) AS ord FROM (SELECT *, lpad(l_orderkey::VARCHAR, 12, '0') || lpad(l_linenumber::VARCHAR, 4, '0') || lpad((l_quantity * 100)::BIGINT::VARCHAR, 8, '0') || lpad(round(l_extendedprice * 100)::BIGINT::VARCHAR, 12, '0') || lpad(round(l_tax * 100)::BIGINT::VARCHAR, 4, '0') AS ord_ FROM lineitem) GROUP BY l_partkey", head="")
 def merge_node_attributes(spark, d):
     li = table(spark, d, "lineitem")

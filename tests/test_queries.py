@@ -49,3 +49,18 @@ def test_empty_graph(spark):
     g = graph(spark, [("a", "a", "x")])
     none = g.subgraph(g.nodes.where("false"))
     assert none.degree.count() == 0 and none.edges.count() == 0
+
+
+def test_components_of_the_whole_table(spark, con):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in con.sql("SELECT DISTINCT 'order_' || l_orderkey, 'part_' || l_partkey FROM lineitem").fetchall():
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = {r["id"]: r["component"] for r in registry.queries()["connected_components_whole"](spark, SF).collect()}
+    assert got == {x: find(x) for x in root}
