@@ -262,3 +262,12 @@ def fn_strip_diacritics(spark, d):
         return x.map(lambda s: None if s is None else query.fold(s))
 
     return table(spark, d, "documents").select("doc_id", fold(F.substring("text", 1, 200)).alias("value"))
+
+
+@register()
+def fn_strip_diacritics_whole(spark, d):
+    @F.pandas_udf("string")
+    def fold(x):
+        return x.map(lambda s: None if s is None else query.fold(s))
+
+    return table(spark, d, "documents").select("doc_id", fold("text").alias("value"))

@@ -64,3 +64,13 @@ def test_components_of_the_whole_table(spark, con):
         root[high] = low
     got = {r["id"]: r["component"] for r in registry.queries()["connected_components_whole"](spark, SF).collect()}
     assert got == {x: find(x) for x in root}
+
+
+def test_diacritics_of_whole_texts(spark, tmp_path):
+    import unicodedata
+
+    texts = [None, "", "\u00c9t\u00e9 " * 500, "x" * 300 + "\u00c5ngstr\u00f6m", "a\u0301" * 201]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["value"] for r in registry.queries()["fn_strip_diacritics_whole"](spark, str(tmp_path)).collect()}
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+    assert got == {i: None if t is None else bare(t) for i, t in enumerate(texts)}
