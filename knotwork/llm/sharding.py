@@ -1,9 +1,9 @@
 """Sharding by balanced label propagation.
 
 Documents with equal texts are linked. State is the number of documents of a group in a shard, so a group of any
-size is at most `shards` rows. In each round a group's parts want to move to the shard that holds most of the group
-and has room; what may move between two shards is bound by what moves back and by the room left, and Spark hands
-those quotas out along a hash order. Documents without links then fill the shards up, so that counts are
+size is at most `shards` rows. In each round a group's parts want to move to the shard that holds most of the group,
+full or not; what may move is bound by what moves back, also in cycles of shards, by the room left, and by whole groups
+that give way. Spark hands those quotas out along a hash order, until none is left. Documents without links then fill the shards up, so that counts are
 at most one apart (law `rows`).
 """
 
@@ -27,33 +27,98 @@ def _sizes(state: DataFrame, shards: int) -> list[int]:
     return [got.get(s, 0) for s in range(shards)]
 
 
-def propagate(state: DataFrame, shards: int, room: int, rounds: int = 8) -> DataFrame:
-    """Moves the parts of state(g, s, c) until none gains; no shard grows beyond `room`."""
-    for _ in range(rounds):
-        free = [max(0, room - z) for z in _sizes(state, shards)]
-        open_ = state.where(F.col("s").isin([s for s in range(shards) if free[s]] or [-1]))
-        best = open_.groupBy("g").agg(F.max(F.struct("c", (-F.col("s")).alias("m"))).alias("b")).select("g", F.col("b.c").alias("bc"), (-F.col("b.m")).alias("t"))
-        wish = state.join(best, "g").where((F.col("s") != F.col("t")) & ((F.col("c") < F.col("bc")) | ((F.col("c") == F.col("bc")) & (F.col("s") > F.col("t")))))
-        wish = cut(wish.select("g", "s", "t", "c", F.md5(F.concat_ws("|", "g", "s")).alias("k")))
-        m = {(r["s"], r["t"]): r["n"] for r in wish.groupBy("s", "t").agg(F.sum("c").alias("n")).collect()}  # a row a pair of shards
-        if not m:
-            break
-        back = {p: min(n, m.get(p[::-1], 0)) for p, n in m.items()}
-        quota, room_left = {}, list(free)
-        for (s, t), n in sorted(m.items(), key=lambda x: (-x[1], x[0])):  # what doesn't come back takes the room left, large flows first
-            extra = min(n - back[s, t], room_left[t])
-            room_left[t] -= extra
-            quota[s, t] = back[s, t] + extra
+def _quotas(wanted: dict, free: list[int]) -> dict:
+    """How much of wanted[s, t] may move so that no shard grows beyond its room: cycles first, then room, also what chains free."""
+    left, quota, free = dict(wanted), dict.fromkeys(wanted, 0), list(free)
+
+    def push(edges, n):
+        for e in edges:
+            left[e] -= n
+            quota[e] += n
+
+    def cycle(start):
+        back, queue = {}, [start]  # breadth first, so the shortest
+        for s in queue:
+            for e in sorted(left):
+                if e[0] == s and left[e] and e[1] not in back:
+                    back[e[1]] = s
+                    queue.append(e[1])
+        if start not in back:
+            return None
+        edges = [(back[start], start)]
+        while edges[-1][0] != start:
+            edges.append((back[edges[-1][0]], edges[-1][0]))
+        return edges
+
+    for start in range(len(free)):
+        while edges := cycle(start):
+            push(edges, min(left[e] for e in edges))
+    while go := [e for e in sorted(left, key=lambda e: (-left[e], e)) if left[e] and free[e[1]] > 0]:
+        s, t = go[0]
+        n = min(left[s, t], free[t])
+        push([(s, t)], n)
+        free[t] -= n
+        free[s] += n
+    return quota
+
+
+def _wishes(state: DataFrame, targets: DataFrame) -> DataFrame:
+    best = targets.groupBy("g").agg(F.max(F.struct("c", (-F.col("s")).alias("m"))).alias("b")).select("g", F.col("b.c").alias("bc"), (-F.col("b.m")).alias("t"))
+    wish = state.join(best, "g").where((F.col("s") != F.col("t")) & ((F.col("c") < F.col("bc")) | ((F.col("c") == F.col("bc")) & (F.col("s") > F.col("t")))))
+    return cut(wish.select("g", "s", "t", "c", F.md5(F.concat_ws("|", "g", "s")).alias("k")))
+
+
+def _flows(wish: DataFrame) -> dict:
+    return {(r["s"], r["t"]): r["n"] for r in wish.groupBy("s", "t").agg(F.sum("c").alias("n")).collect()}  # a row a pair of shards
+
+
+def _exchanged(state: DataFrame, unmet: dict) -> DataFrame:
+    """g, s, t, c of groups that are together in a full shard and give way, whole, to what wants to come: no edge is cut."""
+    whole = state.groupBy("g").agg(F.count(F.lit(1)).alias("parts"), F.first("s").alias("s"), F.sum("c").alias("c")).where("parts = 1")
+    most = {t: max(n for e, n in unmet.items() if e[1] == t) for t in {e[1] for e in unmet}}
+    small = F.lit(False)
+    for t, n in most.items():
+        small = small | ((F.col("s") == t) & (F.col("c") <= n))
+    ranked = numbered(cut(whole.where(small).select("g", "s", "c", F.md5("g").alias("k"))), ["s"], "k", "_before", weight="c")
+    to, at = F.lit(None).cast("int"), dict.fromkeys(most, 0)
+    for (s, t), n in sorted(unmet.items(), key=lambda x: (-x[1], x[0])):
+        here = (F.col("s") == t) & (F.col("_before") >= at[t]) & (F.col("_before") + F.col("c") <= at[t] + n)
+        to, at[t] = F.when(here, s).otherwise(to), at[t] + n
+    return cut(ranked.withColumn("t", to).where("t is not null").select("g", "s", "t", "c"))
+
+
+def propagate(state: DataFrame, shards: int, room: int) -> DataFrame:
+    """Moves the parts of state(g, s, c) until no quota is left; no shard grows beyond `room`.
+
+    Every move takes a part to one that is no smaller, or a whole group, so the links inside shards only grow and the
+    rounds end.
+    """
+    while True:
+        sizes = _sizes(state, shards)
+        free = [room - z for z in sizes]
+        wish = _wishes(state, state.where(F.col("c") < room))
+        wanted = _flows(wish)
+        quota = _quotas(wanted, free)
+        unmet = {e: n - quota[e] for e, n in wanted.items() if n > quota[e]}
+        given_way = None
+        if unmet:
+            given_way = _exchanged(state, unmet)
+            for (t, s), n in _flows(given_way).items():
+                quota[s, t] += n
+        if not any(quota.values()):  # nothing can come to the best shards: the best of those with room
+            wish = _wishes(state, state.where(F.col("s").isin([s for s in range(shards) if free[s] > 0] or [-1])))
+            quota, given_way = _quotas(_flows(wish), free), None
         if not any(quota.values()):
-            break
+            return state
         given = F.lit(0)
         for (s, t), q in quota.items():
             given = F.when((F.col("s") == s) & (F.col("t") == t), q).otherwise(given)
         ranked = numbered(wish, ["s", "t"], "k", "_before", weight="c")
-        moved = ranked.withColumn("a", F.greatest(F.lit(0), F.least(F.col("c"), given - F.col("_before")))).where("a > 0")
+        moved = ranked.withColumn("a", F.greatest(F.lit(0), F.least(F.col("c"), given - F.col("_before")))).where("a > 0").select("g", "s", "t", "a")
+        if given_way is not None:
+            moved = moved.union(given_way)
         change = moved.select("g", "s", (-F.col("a")).alias("c")).union(moved.select("g", F.col("t").alias("s"), F.col("a").alias("c")))
         state = cut(state.select("g", "s", "c").union(change).groupBy("g", "s").agg(F.sum("c").alias("c")).where("c > 0"))
-    return state
 
 
 def shard(documents: DataFrame, shards: int = 8) -> DataFrame:

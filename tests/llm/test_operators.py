@@ -214,6 +214,17 @@ def test_sharding_without_room(spark):
     assert len({r["shard"] for r in got if r["doc_id"] < 40}) <= 5
 
 
+def test_sharding_swaps_between_full_shards(spark):
+    texts = [f"p{i // 2}" for i in range(3000)] + [f"f{i // 5}" for i in range(1000)] + [f"b{i // 200}" for i in range(1000)]
+    where, sizes = {}, [0] * 8
+    for r in sharding.shard(documents(spark, list(enumerate(texts)))).collect():
+        where.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+        sizes[r["shard"]] += 1
+    assert sum(map(len, where.values())) <= 1.2 * len(where) and sizes == [625] * 8
+    assert sharding._quotas({(0, 1): 5, (1, 2): 3, (2, 0): 4}, [0, 0, 0]) == {(0, 1): 3, (1, 2): 3, (2, 0): 3}
+    assert sharding._quotas({(0, 1): 5, (1, 2): 3}, [0, 0, 2]) == {(0, 1): 2, (1, 2): 2}
+
+
 def test_mixing(spark):
     got = mixing.mix(documents(spark, [(i, "a b c " * (i % 5 + 1)) for i in range(60)] + [(99, None)])).collect()
     assert got and all(0 <= r["epoch"] <= mixing.EPOCHS for r in got)
