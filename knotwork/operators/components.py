@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut
+from ..sources.tables import cut, discard
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component) of every end of links(a, b); component is the smallest id reachable.
 
     Each step is a minimum per node, which Spark sums up before it shuffles, and a join, whose hot nodes adaptive
-    execution splits. Ends when the links no longer change.
+    execution splits. Ends when the links no longer change; every step before that lowers some end, so it does end.
     """
     e = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
-    for _ in range(most_rounds):
+    while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
-        e = cut(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).where("u <> v").distinct())
+        before, e = e, cut(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).where("u <> v").distinct())
+        discard(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break
