@@ -7,16 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..sources.tables import cut, shared_dir, table
+from ..sources.tables import cut, discard, scratch, settings, shared_dir, table
 
-__all__ = ["SPACES", "bounded_batches", "components", "cut", "mix64", "n_words", "numbered", "shared_dir", "shingles", "table"]
+__all__ = ["SPACES", "bounded_batches", "components", "cut", "discard", "mix64", "n_words", "numbered", "rowed", "scratch", "settings", "shared_dir", "shingles", "table"]
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`; bytes.split() splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """No more rows in an Arrow batch than this: whole texts can be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -24,6 +22,12 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def rowed(df: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of df as one struct column `row`, beside `columns` over df: names of df's own can't clash with later ones.
+    `select("row.*")` brings df's columns back."""
+    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"), *(c.alias(name) for name, c in columns.items()))
+
+
 # --- words ------------------------------------------------------------------------------------
 
 _MIX = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)

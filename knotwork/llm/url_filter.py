@@ -11,12 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, discard, table
 
 #: Fixed rules: verdict, rule.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Segments beyond so many levels are one segment of the tree.
-LEVELS = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,8 +34,8 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def segments(path: Column) -> Column:
-    """The path's segments, variable forms as wildcards; at most LEVELS of them."""
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/", LEVELS)
+    """The path's segments, variable forms as wildcards."""
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
 
     def form(s: Column) -> Column:
         s = F.regexp_replace(s, r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "{date}")
@@ -47,30 +45,48 @@ def segments(path: Column) -> Column:
     return F.transform(parts, form)
 
 
-def templates(nodes: DataFrame, many: int = 20, share: float = 0.3, z: float = 1.96) -> DataFrame:
-    """Adds `t`, the template array, to nodes(host, segs, n, labelled, bad), one row per distinct (host, segs)."""
-    depth = nodes.agg(F.max(F.size("segs"))).first()[0] or 0
+def templates(nodes: DataFrame, many: int = 20, share: float = 0.3, z: float = 1.96, least: int = 3) -> DataFrame:
+    """Adds `t`, the template array, to nodes(host, segs, n, labelled, bad), one row per distinct (host, segs).
+
+    Level by level, a node with more than `many` children of which none holds `share` of its pages gets one wildcard
+    child. Else those children merge whose share of bad pages doesn't differ from their siblings' by `z` standard errors;
+    a child with fewer than `least` labelled pages, or siblings with fewer, gives no evidence and keeps its name. A path
+    that is alone below its node keeps the rest of its segments, so rounds end with the deepest branching.
+    """
     nodes = nodes.withColumn("t", F.array().cast("array<string>"))
-    for level in range(depth):
-        at = nodes.withColumn("s", F.get("segs", F.lit(level)))
-        child = at.where("s is not null").groupBy("host", "t", "s").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
-        child = cut(child)
+    done, level = [], 0
+    while True:
+        alone = nodes.groupBy("host", "t").agg(F.count(F.lit(1)).alias("m"))
+        at = cut(nodes.join(alone, ["host", "t"]))
+        rest = F.slice("segs", F.lit(level + 1), F.greatest(F.size("segs") - level, F.lit(0)))
+        ends = (F.col("m") == 1) | (F.size("segs") <= level)
+        done.append(cut(at.where(ends).withColumn("t", F.concat("t", rest)).drop("m")))
+        at = at.where(~ends).drop("m").withColumn("s", F.get("segs", F.lit(level)))
+        if at.isEmpty():
+            break
+        child = cut(at.groupBy("host", "t", "s").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad"))))
         node = child.groupBy("host", "t").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("whole"), F.max("n").alias("top"), F.sum("labelled").alias("L"), F.sum("bad").alias("B"))
         both = child.join(node, ["host", "t"])
         rest_l, rest_b = F.col("L") - F.col("labelled"), F.col("B") - F.col("bad")
         pooled = F.try_divide("B", "L")
         spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "labelled") + F.try_divide(F.lit(1), rest_l)))
         score = F.coalesce(F.abs(F.try_divide(F.try_divide("bad", "labelled") - F.try_divide(rest_b, rest_l), spread)), F.lit(0.0))
-        both = both.withColumn("like", score < z)
+        both = both.withColumn("like", (F.col("labelled") >= least) & (rest_l >= least) & (score < z))
         likes = both.where("like").groupBy("host", "t").agg(F.count(F.lit(1)).alias("likes"))
         both = both.join(likes, ["host", "t"], "left")
         wide = (F.col("k") > many) & (F.col("top") < share * F.col("whole"))
         name = F.when(wide | (F.col("like") & (F.col("likes") > 1)), F.lit("*")).otherwise(F.col("s"))
         names = both.select("host", "t", "s", name.alias("name"))
         on = (F.col("a.host") == F.col("b.host")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.s") == F.col("b.s"))
-        grown = at.alias("a").join(names.alias("b"), on, "left").select("a.host", "segs", "n", "labelled", "bad", F.when(F.col("name").isNull(), F.col("a.t")).otherwise(F.concat("a.t", F.array("name"))).alias("t"))
-        nodes = cut(grown)
-    return nodes
+        before, nodes = nodes, cut(at.alias("a").join(names.alias("b"), on).select("a.host", "segs", "n", "labelled", "bad", F.concat("a.t", F.array("name")).alias("t")))
+        discard(before, child)
+        level += 1
+    out = done[0]
+    for x in done[1:]:
+        out = out.union(x)
+    out = cut(out)
+    discard(*done)
+    return out
 
 
 def judge(pages: DataFrame, labels: DataFrame, least: int = 3, purity: float = 0.6, weight: float = 4.0) -> DataFrame:
@@ -79,7 +95,8 @@ def judge(pages: DataFrame, labels: DataFrame, least: int = 3, purity: float = 0
     labels(doc_id, quality, toxic) mark a page by its id: bad if quality is 0 or toxic is 1. Where no rule fits, a page
     is blocked if its template has `least` labelled pages and the share of bad ones, smoothed by `weight` pages of the
     overall share, is `purity` or more; else allowed. Null and malformed urls have empty host and path and are
-    allowed. Rows that repeat an id are judged each. Other columns are not read.
+    allowed. Rows that repeat an id are judged each; an id's contradicting labels count as bad. An empty table gives no
+    rows. Other columns are not read.
     """
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
