@@ -8,13 +8,15 @@ patterns make it. Occurrences of unseen instances in high-confidence patterns be
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bounded_batches, cut, discard, rowed, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -24,7 +26,7 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9._@/-])(?=[A-Za-z._@/-]{0,63}[0-9])[A-Za-z0-9][A-Za-z0-9._@/-]{3,62}[A-Za-z0-9](?![A-Za-z0-9])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9._@/-])(?=[A-Za-z._@/-]*[0-9])[A-Za-z0-9][A-Za-z0-9._@/-]{3,}[A-Za-z0-9](?![A-Za-z0-9])")
 #: Stands for base spans where runs are looked for.
 _GONE = "\ue000"
 _RUNS = (
@@ -93,17 +95,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found + [(3, *x) for x in (_phones(text) if "+" in text else ())]
 
 
+#: A word of a pattern is its last or first so many characters: those next to the instance.
+_PART = 48
+
+
 def _clean(word: str) -> str:
     return re.sub("[0-9]", "0", word.strip(_EDGE).lower())
 
 
-def _contexts(text: str, start: int, end: int) -> list[str]:
-    before = [_clean(x) for x in _WORD.findall(text[max(0, start - 64) : start])[-2:]]
-    after = [_clean(x) for x in _WORD.findall(text[end : end + 48])[:1]]
+def _contexts(text: str, words: list[tuple[int, int]], start: int, end: int) -> list[str]:
+    """The two patterns of an instance. words: the places of the text's words; parts of words beside the instance are words."""
+    i = bisect.bisect_left(words, (start, 0))
+    before = [_clean(text[max(a, min(b, start) - _PART) : min(b, start)]) for a, b in words[max(0, i - 2) : i]]
+    j = bisect.bisect_right(words, end, key=lambda w: w[1])
+    after = [_clean(text[max(a, end) : min(b, max(a, end) + _PART)]) for a, b in words[j : j + 1]]
     one, two, right = (before or ["^"])[-1], (["^", "^", *before])[-2], (after or ["$"])[0]
     return [f"{two} {one} _", f"{one} _ {right}"]
 
 
+def _instance(found: str) -> str:
+    """Stands for what was found; one that is very long by its digest."""
+    return found.lower() if len(found) <= 256 else hashlib.md5(found.lower().encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """What may be an unseen identifier, by start: tokens with a digit, local@name, and digits with signs between them."""
     found, rest, at = {m.span() for m in _TOKEN.finditer(text)}, [], 0
@@ -123,13 +137,15 @@ def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds and other identifier-like tokens with their contexts."""
     if not _ANY.search(text):
         return []
-    out = [{"kind": k, "start": s, "end": e, "inst": text[s:e].lower()[:256], "ctx": _contexts(text, s, e)} for k, s, e in base]
+    more = _candidates(text, base)
+    words = [m.span() for m in _WORD.finditer(text)] if base or more else []
+    out = [{"kind": k, "start": s, "end": e, "inst": _instance(text[s:e]), "ctx": _contexts(text, words, s, e)} for k, s, e in base]
     taken, i = sorted((s, e) for _, s, e in base), 0
-    for start, end in _candidates(text, base):
+    for start, end in more:
         while i < len(taken) and taken[i][1] <= start:
             i += 1
         if i == len(taken) or taken[i][0] >= end:
-            out.append({"kind": -1, "start": start, "end": end, "inst": text[start:end].lower(), "ctx": _contexts(text, start, end)})
+            out.append({"kind": -1, "start": start, "end": end, "inst": _instance(text[start:end]), "ctx": _contexts(text, words, start, end)})
     return out
 
 
@@ -152,20 +168,26 @@ def _scan(batches):
 _SHAPE = {0: "@", 1: r"^[0-9]+[.:][0-9.:]+$", 2: r"^[0-9][0-9 -]{10,}[0-9]$", 3: r"^\+?\(?[0-9][0-9 ().-]{5,}[0-9]$"}
 
 
-def discovered(scanned: DataFrame, rounds: int = 3, least_seeds: int = 3, confidence: float = 0.8) -> DataFrame:
-    """doc_id, th, found array<(k, s, e)>: spans that high-confidence patterns add, none of which meets a base span."""
+def discovered(scanned: DataFrame, least_seeds: int = 3, confidence: float = 0.8) -> DataFrame:
+    """doc_id, th, found array<(k, s, e)>: spans that high-confidence patterns add, none of which meets a base span.
+
+    Scores go back and forth until no confidence grows by 0.001 any more."""
     seen = cut(scanned.where(F.size("occ") > 0).select("doc_id", "th", F.explode("occ").alias("o")).select("doc_id", "th", "o.*"))
     edges = cut(seen.select(F.explode("ctx").alias("ctx"), "inst", "kind").distinct())
     sizes = edges.groupBy("ctx").agg(F.countDistinct("inst").alias("n"))
     seeds = edges.where("kind >= 0").groupBy("ctx", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= least_seeds)
     patterns = cut(seeds.join(sizes, "ctx"))
     unseen = cut(edges.where("kind = -1").select("ctx", "inst").join(patterns.select("ctx", "kind"), "ctx"))
-    given, scores = patterns.withColumn("conf", F.col("seeds") / F.col("n")), None
-    for _ in range(rounds):
+    given = cut(patterns.withColumn("conf", F.col("seeds") / F.col("n")))
+    while not unseen.isEmpty():  # confidences only grow, and not beyond 1
         good = given.where(F.col("conf") >= confidence / 2).select("ctx", "kind", "conf")
         scores = cut(unseen.join(good, ["ctx", "kind"]).groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-9)))))).alias("score")))
         gain = unseen.join(scores, ["inst", "kind"]).groupBy("ctx", "kind").agg(F.sum("score").alias("more"))
-        given = cut(patterns.join(gain, ["ctx", "kind"], "left").withColumn("conf", F.least(F.lit(1.0), (F.col("seeds") + F.coalesce("more", F.lit(0.0)) * F.col("seeds") / F.col("n")) / F.col("n"))).drop("more"))
+        before, given = given, cut(patterns.join(gain, ["ctx", "kind"], "left").withColumn("conf", F.least(F.lit(1.0), (F.col("seeds") + F.coalesce("more", F.lit(0.0)) * F.col("seeds") / F.col("n")) / F.col("n"))).drop("more"))
+        grown = given.join(before.select("ctx", "kind", F.col("conf").alias("was")), ["ctx", "kind"]).agg(F.max(F.col("conf") - F.col("was"))).first()[0]
+        discard(before, scores)
+        if not grown or grown < 0.001:
+            break
     high = given.where(F.col("conf") >= confidence).select("ctx", "kind", "conf")
     hits = seen.where("kind = -1").select("doc_id", "th", "start", "end", "inst", F.explode("ctx").alias("ctx")).join(high, "ctx")
     looks = F.lit(False)
@@ -176,15 +198,18 @@ def discovered(scanned: DataFrame, rounds: int = 3, least_seeds: int = 3, confid
     above = Window.partitionBy("doc_id", "th").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     best = best.withColumn("_to", F.max("end").over(above)).where("_to is null or _to < end")
     span = F.struct((-F.col("m")["col2"]).cast("int").alias("k"), F.col("start").alias("s"), F.col("end").alias("e"))
-    return cut(best.groupBy("doc_id", "th").agg(F.collect_list(span).alias("found")))
+    out = cut(best.groupBy("doc_id", "th").agg(F.collect_list(span).alias("found")))
+    discard(seen, edges, patterns, unseen, given)
+    return out
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+def _key():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def _scanned(documents: DataFrame) -> DataFrame:
-    docs = _keyed(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_th").alias("th"), F.col("text").cast("string").alias("text"))
+    bounded_batches(documents.sparkSession)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("th"), F.col("text").cast("string").alias("text"))
     return cut(docs.mapInArrow(_scan, _SCANNED))
 
 
@@ -221,16 +246,19 @@ def mask(text: str | None, found: list | None) -> str | None:
 
 
 def redact(documents: DataFrame) -> DataFrame:
-    """All rows and columns of documents, with the personal data of text masked."""
+    """All rows and columns of documents, whatever their names, with the personal data of text masked."""
 
     @F.pandas_udf("string")
     def masked(texts, found):
         return texts.combine(found, mask) if len(texts) else texts
 
-    found = discovered(_scanned(documents)).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.col("found").alias("_found"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h"))
-    out = _keyed(documents).join(found, on, "left")
-    return out.withColumn("text", masked(F.col("text").cast("string"), "_found")).select(*documents.columns)
+    scanned = _scanned(documents)
+    found = discovered(scanned)
+    discard(scanned)
+    rows = rowed(documents, d=F.col("doc_id").cast("long"), h=_key())
+    out = rows.join(found, rows["d"].eqNullSafe(found["doc_id"]) & (rows["h"] == found["th"]), "left")
+    clean = masked(F.col("row.text").cast("string"), "found")
+    return out.select(*(clean.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in documents.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
