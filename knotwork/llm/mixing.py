@@ -3,7 +3,8 @@
 Native: DataFrame operations only. A node's capacity is what its leaves can give in all epochs. From the root
 down, a parent's budget is shared among its children by weight; a child that cannot take its share takes its
 capacity and the rest goes to its siblings. As a parent never gets more than its capacity, what siblings
-cannot take has by then gone to the parent's own siblings. All of it is exact integer arithmetic.
+cannot take has by then gone to the parent's own siblings. All of it is exact integer arithmetic; the words that whole
+shares leave over, fewer than a node has children, stay unassigned.
 A leaf repeats whole epochs and then takes a prefix of one more, each epoch in an order of its own.
 """
 
@@ -12,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, table
+from .common import cut, n_words, rowed, table
 
 #: Fixed values of the production mix; what is not named weighs 1. Domains group the sources by their number.
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 1}, "source": {}}
 LEVELS = ("domain", "lang", "source")
 SHARE, EPOCHS, SEED = (1, 1), 3, "mix-1"
+#: A multiple of all weights that may be given (1 to 10), so that capacities by weight are compared in whole numbers.
+WHOLE = 2520
 
 
 def domain_of(source: Column) -> Column:
@@ -34,10 +37,10 @@ def _weight(level: str, weights: dict) -> Column:
 
 def allocate(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     """Adds `alloc` to children(*parent, name, w, cap, budget): the parent's budget by weight, up to capacity."""
-    order = Window.partitionBy(*parent).orderBy(F.col("cap") / F.col("w"), name)
+    wide = lambda c, p: F.col(c).cast(f"decimal({p},0)")
+    order = Window.partitionBy(*parent).orderBy(wide("cap", 30) * F.expr(f"{WHOLE} div w"), name)
     whole = Window.partitionBy(*parent)
     up, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    wide = lambda c, p: F.col(c).cast(f"decimal({p},0)")
     df = children.withColumn("_c", F.coalesce(F.sum("cap").over(up), F.lit(0))).withColumn("_w", F.sum("w").over(on)).withColumn("_rest", F.col("budget") - F.col("_c"))
     df = df.withColumn("_full", wide("cap", 22) * wide("_w", 12) <= wide("_rest", 22) * wide("w", 12))
     df = df.withColumn("_fc", F.sum(F.when(F.col("_full"), F.col("cap")).otherwise(0)).over(whole)).withColumn("_fw", F.sum(F.when(F.col("_full"), 0).otherwise(F.col("w"))).over(whole))
@@ -86,11 +89,12 @@ def mix(documents: DataFrame, weights: dict = WEIGHTS, share: tuple[int, int] =
 
 
 def mixed(documents: DataFrame, **options) -> DataFrame:
-    """The chosen rows of documents with all their columns, once an epoch."""
-    chosen = mix(documents, **options).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "domain", F.col("lang").alias("_l"), F.col("source").alias("_s"))
-    text, null = F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.md5(text) == F.col("_h")) & (F.coalesce(F.col("lang").cast("string"), null) == F.col("_l")) & (F.coalesce(F.col("source").cast("string"), null) == F.col("_s"))
-    return documents.join(chosen, on).select(*(documents[c] for c in documents.columns))
+    """The chosen rows of documents with all their columns, whatever their names, once an epoch."""
+    chosen = mix(documents, **options).select("doc_id", "th", "lang", "source")
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = rowed(documents, d=F.col("doc_id").cast("long"), h=F.md5(plain("text")), l=plain("lang"), s=plain("source"))
+    on = rows["d"].eqNullSafe(chosen["doc_id"]) & (rows["h"] == chosen["th"]) & (rows["l"] == chosen["lang"]) & (rows["s"] == chosen["source"])
+    return rows.join(chosen, on).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +107,8 @@ def _case(level: str) -> str:
 
 def _level(name: str, source: str, parent: str, by: str) -> str:
     return f"""
-{name}_1 AS (SELECT *, budget - coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY cap / w::DOUBLE, {by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_,
-  sum(w) OVER (PARTITION BY {parent} ORDER BY cap / w::DOUBLE, {by} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_ FROM {source}),
+{name}_1 AS (SELECT *, budget - coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY cap::HUGEINT * ({WHOLE} // w), {by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_,
+  sum(w) OVER (PARTITION BY {parent} ORDER BY cap::HUGEINT * ({WHOLE} // w), {by} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_ FROM {source}),
 {name}_2 AS (SELECT *, cap::HUGEINT * w_ <= left_::HUGEINT * w AS full_ FROM {name}_1),
 {name} AS (SELECT *, CASE WHEN full_ THEN cap ELSE ((budget - sum(CASE WHEN full_ THEN cap ELSE 0 END) OVER (PARTITION BY {parent}))::HUGEINT * w
   // nullif(sum(CASE WHEN full_ THEN 0 ELSE w END) OVER (PARTITION BY {parent}), 0)::HUGEINT)::BIGINT END AS alloc FROM {name}_2),"""
