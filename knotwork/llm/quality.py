@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, rowed, table
 
 BUCKETS_LOG2 = 18
 DIMENSIONS = 8
@@ -26,12 +26,8 @@ _STEP = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F,
 
 
 def buckets(text: str | None) -> np.ndarray:
-    """A bucket for each word and each run of 3 and of 5 bytes of the whole text.
-
-    A word that one of the two words before it equals adds the bucket of the abstract n-gram "the same again".
-    """
-    data = (text or "").encode("utf-8", "surrogatepass")
-    flat = np.frombuffer(data, np.uint8).astype(np.uint32)
+    """A bucket for each word and each run of 3 and of 5 characters (code points) of the whole text."""
+    flat = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
     found = []
     for n in (3, 5):
         if len(flat) >= n:
@@ -49,8 +45,6 @@ def buckets(text: str | None) -> np.ndarray:
         h = (sums[stop] - sums[start]) * _STEP[2] + flat[start] * _STEP[3] + flat[stop - 1] * _STEP[4] + (stop - start).astype(np.uint32)
         h ^= h >> np.uint32(15)
         found.append((h * _STEP[0]) >> np.uint32(32 - BUCKETS_LOG2))
-        for back in (1, 2):
-            found.append(np.full(int((h[back:] == h[:-back]).sum()), back, np.uint32))
     return np.concatenate(found) if found else np.empty(0, np.uint32)
 
 
@@ -93,8 +87,11 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     labels = labels.where(~_held_out("doc_id")).groupBy("doc_id").agg(F.min("y").alias("y")).withColumn("_h", F.md5(F.col("doc_id").cast("string")))
     chosen = labels.where("y = 0").orderBy("_h").limit(sample).union(labels.where("y = 1").orderBy("_h").limit(sample))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "y", "_h")  # 2 * sample rows
-    model = rows.repartition(1).sortWithinPartitions("_h", "text").select("text", "y").mapInArrow(_fit, "logits binary, bias double").collect()[0]
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("_h", "y").agg(F.min("text").alias("text"))  # 2 * sample rows, one an id
+    model = rows.repartition(1).sortWithinPartitions("_h").select("text", "y").mapInArrow(_fit, "logits binary, bias double").collect()
+    if not model:  # an empty table has no partition to fit in
+        return np.zeros(1 << BUCKETS_LOG2, np.float32), 0.0
+    model = model[0]
     n = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     odds = [n.get(1, 0), n.get(0, 0), min(sample, n.get(0, 0)), min(sample, n.get(1, 0))]
     # The sample has other shares of the two classes than the labels have; the bias makes up for it.
@@ -107,7 +104,8 @@ def _held_out(column: str):
 
 
 def scores(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """The rows of documents with score (0 to 1, also for null and empty texts) beside all their own columns."""
+    """row, a struct of the columns of documents, and score (0 to 1, also for null and empty texts) of every row."""
+    bounded_batches(documents.sparkSession)
     logits_b = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -121,18 +119,19 @@ def scores(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             means.append(float(logits[h].sum(dtype=np.float64)) / (len(h) + PRIOR))
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(means) + bias, -500, 500))), dtype="float64")
 
-    return documents.withColumn("score", score(F.col("text").cast("string")))
+    return rowed(documents, score=score(F.col("text").cast("string")))
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of documents(doc_id, text).
 
     Without any labelled row each score is 0.5 and each document is predicted 1. Rows that repeat an id are
-    scored each; of an id's contradicting labels the lower counts. A null id is not held out.
+    scored each, and one of their texts is fitted on; of an id's contradicting labels the lower counts. A null id is not
+    held out. An empty table gives no rows. Other columns are not read.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = scores(docs, fit(docs, labels))
-    return out.select("doc_id", _held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("row.doc_id", _held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
