@@ -2,17 +2,18 @@
 
 Documents link when 100 * |A & B| >= 100 * threshold * |A | B| over their sets of 5-word shingles.
 
-1.  One scan makes each document's set signature and adds its shingles to a fixed table of hashed counters,
-    which orders all shingles from rare to frequent. Any order gives exact results; this one keeps shared
-    passages out of the prefixes.
+1.  One scan makes each document's set signature and counts its shingles in hashed counters. Their ranks order all
+    shingles from rare to frequent. Any order gives exact results; this one keeps shared passages out of the prefixes.
 2.  Documents with equal sets form a class; only classes are joined.
-3.  Each class posts the shingles of its prefix with size and position. Per shingle the most central class
-    is the pivot, and every other class meets the pivot only: a number of pairs that grows with the postings.
-4.  Pairs that pass the length, positional and suffix filters are verified once, over whole sets.
-    In the first round a class is compared with the pivot it shares most with; pairs of shingles that only two classes
-    have and that were not compared then are kept for the end.
-5.  Shingles whose classes are then still in several components get other pivots, twice, and finally yield all the
-    remaining pairs between classes of different components, with the kept ones. No link that could join two components is left out.
+3.  Each class posts the shingles of its prefix with size and position, sorted by shingle. A shingle of one class ends
+    there; one of up to FEW classes gives its pairs at once, so pairs grow with the postings; the rest are frequent.
+    Of a frequent shingle one class is the pivot, and every other class meets the pivot only.
+4.  Pairs that pass the length, positional and suffix filters are candidates. Each class is compared with its nearest
+    candidate first, over whole sets, and links make components. Candidates inside one component are settled.
+5.  Frequent shingles whose classes are in several components get other pivots, and at last give all their pairs between
+    components. No pair is compared twice, and no link that could join two components is left out.
+
+Shingles and sets are told apart by 64 and 128 bits of a hash; of 2**64 pairs of different shingles one is taken for equal.
 """
 
 from __future__ import annotations
@@ -21,17 +22,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, cut, mix64, shingles, table
+from .common import bounded_batches, components, discard, mix64, scratch, shingles, table
 
-#: Hashed counters: a fixed size, whatever the input.
-COUNTERS = 1 << 18
+#: Hashed counters, summed in SLICES parts: a fixed size, whatever the input.
+COUNTERS_LOG2, SLICES = 18, 64
+COUNTERS = 1 << COUNTERS_LOG2
 #: Bits of a set's parity bitmap.
 BITMAP = 1024
+#: A frequent shingle's postings are dealt over so many tasks.
 SALTS = 64
-ROUNDS = 2
+#: Shingles of so many classes give all of their pairs.
+FEW = 8
+#: Rows of an Arrow batch of postings.
+ROWS = 1 << 16
 
 
 def _class_of(s: np.ndarray) -> bytes:
@@ -50,14 +56,14 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
 
 
 def _scan(words: int):
-    """doc_id, n, sig, cls (the key of sig in the postings) of each row; one more row per task holds its counters."""
-    names = ["doc_id", "n", "sig", "cls", "bits", "counts"]
+    """doc_id, th, n, sig, cls (the key of sig in the postings), bits of each row; SLICES more rows per task hold its counters."""
+    names = ["doc_id", "th", "n", "sig", "cls", "bits", "slice", "counts"]
 
     def run(batches):
         counts, lows, held = np.zeros(COUNTERS, np.int64), [np.empty(0, np.int32)], 0
         for b in batches:
             ns, sigs, bits = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 s = shingles(text, words)
                 lows.append((s & np.uint64(COUNTERS - 1)).astype(np.int32))
                 if (held := held + len(s)) > 1 << 22:
@@ -66,44 +72,39 @@ def _scan(words: int):
                 ns.append(len(s))
                 sigs.append(_class_of(s) if len(s) else None)
                 bits.append(_bitmap(s) if len(s) else None)
-            yield pa.record_batch([b.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array([_key(x) for x in sigs], pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(len(ns), pa.binary())], names)
+            n = len(ns)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array([_key(x) for x in sigs], pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         counts += np.bincount(np.concatenate(lows), minlength=COUNTERS)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.record_batch([*(pa.nulls(1, k) for k in kinds), pa.array([counts.astype(np.uint32).tobytes()], pa.binary())], names)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+        parts = [x.astype(np.int64).tobytes() for x in np.split(counts, SLICES)]
+        yield pa.record_batch([*(pa.nulls(SLICES, k) for k in kinds), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return run
 
 
 def _summed(batches):
-    total = np.zeros(COUNTERS, np.int64)
+    total: dict[int, np.ndarray] = {}
     for b in batches:
-        for x in b.column(0).to_pylist():
-            total += np.frombuffer(x, np.uint32 if len(x) == 4 * COUNTERS else np.int64)
-    yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["counts"])
+        for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            total[k] = total.get(k, 0) + np.frombuffer(x, np.int64)
+    yield pa.record_batch([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
 
 
-def _prefix(s: np.ndarray, counts: np.ndarray, mean: float, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The prefix from rare to frequent, the counts of its shingles, and how frequent the set is on the whole (0..127)."""
+def _prefix(s: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of a set from rare to frequent: by the rank of a shingle's counter, then by the shingle's other bits."""
     k = len(s) - -(-percent * len(s) // 100) + 1
-    freq = counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    central = int(min(127, 8 * np.log2(1 + freq.mean() / (1 + mean))))
-    key = np.minimum(freq, (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | s & np.uint64((1 << 40) - 1)
+    key = ranks[(s & np.uint64(COUNTERS - 1)).astype(np.int64)] << np.uint64(64 - COUNTERS_LOG2) | s >> np.uint64(COUNTERS_LOG2)
     least = np.argpartition(key, k - 1)[:k] if k < len(s) else np.arange(len(s))
-    if (key <= key[least].max()).sum() == k:
-        least = least[np.argsort(key[least])]
-        if (np.diff(key[least]) > 0).all():
-            return s[least], freq[least], central
-    least = np.lexsort((s, key))[:k]  # equal keys: the order must be the same in all sets
-    return s[least], freq[least], central
+    return s[least[np.argsort(key[least])]]
 
 
-def _postings(counts_b, words: int, percent: int):
-    """token, cls, pack (centrality, size, position), salt. Frequent shingles are dealt over SALTS parts."""
+def _postings(counts_b, words: int, percent: int, load: float):
+    """token, cls, pack (centrality, size, position), salt of each prefix. Shingles with more than `load` documents, as
+    far as the counters tell, are dealt over SALTS parts."""
 
     def run(batches):
-        counts = np.frombuffer(counts_b.value, np.int64)
+        counts, ranks = counts_b.value
         mean = float(counts.mean())
-        hot = 16 * mean + 1000
         seen: set[bytes] = set()
         for b in batches:
             out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
@@ -112,18 +113,82 @@ def _postings(counts_b, words: int, percent: int):
                 if not len(s) or (sig := _class_of(s)) in seen:
                     continue
                 seen.add(sig)
-                order, freq, central = _prefix(s, counts, mean, percent)
+                order = _prefix(s, ranks, percent)
                 k = len(order)
+                central = int(min(127, 8 * np.log2(1 + counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)].mean() / (1 + mean))))
+                often = counts[(order & np.uint64(COUNTERS - 1)).astype(np.int64)] - mean
                 out[0].append(order.view(np.int64))
                 out[1].append(np.full(k, _key(sig)))
                 out[2].append((central << 56 | len(s) << 28) + np.arange(k, dtype=np.int64))
-                out[3].append(np.where(freq > hot, 1 + sig[8] % SALTS, 0))
+                out[3].append(np.where(often > load, 1 + sig[8] % SALTS, 0))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.record_batch([pa.array(np.concatenate(x), k) for x, k in zip(out, kinds, strict=True)], ["token", "cls", "pack", "salt"])
 
     return run
 
 
+def _may_link(p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """Length and positional filter on packed postings of the same shingles."""
+    low = (1 << 28) - 1
+    n, m, i, j = p >> 28 & low, q >> 28 & low, p & low, q & low
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(n - i, m - j) >= -(-percent * (n + m) // (100 + percent)))
+
+
+def _meetings(percent: int):
+    """Of postings sorted by token, salt and cls: pairs (a, b) of the shingles of up to FEW classes, and the postings
+    (token, a, pack) of the frequent ones. Holds one batch and at most FEW rows more."""
+
+    def run(batches):
+        carry = [np.empty(0, np.int64) for _ in range(4)]
+        frequent, last = None, None  # the frequent shingle that the last batch ended in, and its last class
+
+        def step(rows, end):
+            nonlocal carry, frequent, last
+            t, c, p, s = (np.concatenate(x) for x in zip(carry, rows, strict=True))
+            if not len(t):
+                return [], []
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
+            same = np.zeros(len(t), bool)
+            same[1:] = ~new[1:] & (c[1:] == c[:-1])
+            goes_on = frequent == (t[0], s[0])
+            same[0] = goes_on and last == c[0]
+            first = np.cumsum(new) - 1 == 0  # rows of the first run, which may have begun before
+            t, c, p, s, new, first = (x[~same] for x in (t, c, p, s, new, first))
+            if not len(t):
+                return [], []
+            new[0] = True
+            new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
+            starts = np.flatnonzero(new)
+            run_ = np.cumsum(new) - 1
+            size = np.diff(np.append(starts, len(t)))[run_]
+            often = (size > FEW) | (s > 0) | (first & goes_on)
+            open_ = np.zeros(len(t), bool) if end else run_ == run_[-1]
+            hold = open_ & ~often
+            if not end:
+                frequent, last = ((t[-1], s[-1]), c[-1]) if often[-1] else (None, None)
+            carry = [x[hold] for x in (t, c, p, s)]
+            few, pairs = ~often & ~hold & (size > 1), [np.empty((2, 0), np.int64)]
+            for d in range(1, FEW):
+                i = np.flatnonzero(few[:-d] & (run_[:-d] == run_[d:])) if d < len(t) else np.empty(0, np.int64)
+                i = i[_may_link(p[i], p[i + d], percent)]
+                pairs.append(np.stack([c[i], c[i + d]]))
+            return np.unique(np.concatenate(pairs, 1), axis=1), (t[often], c[often], p[often])
+
+        def batch(pairs, posts):
+            n = len(pairs[0]) if len(pairs) else 0
+            a, posts = (pairs[0], pairs[1]) if n else (np.empty(0, np.int64),) * 2, posts or (np.empty(0, np.int64),) * 3
+            m = len(posts[0])
+            cols = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(posts[0])]), pa.array(np.concatenate([a[0], posts[1]])), pa.concat_arrays([pa.array(a[1]), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(posts[2])])]
+            return pa.record_batch(cols, ["token", "a", "b", "pack"])
+
+        for b in batches:
+            yield batch(*step([b.column(i).to_numpy().astype(np.int64) for i in range(4)], False))
+        yield batch(*step([np.empty(0, np.int64)] * 4, True))
+
+    return run
+
+
 class Bloom:
     """Which ids may be wanted: 12 bits an id and two probes, at most 32 MB; fuller than that it lets more ids by."""
 
@@ -165,15 +230,17 @@ def _ored(batches):
 
 
 def _sets(words: int, n: int, bits_b):
-    """id, set of the documents that the filter lets by."""
+    """cls, set of the documents that the filter lets by, each set once a task."""
 
     def run(batches):
-        bloom = Bloom(n)
+        bloom, seen = Bloom(n), set()
         bloom.bits = np.frombuffer(bits_b.value, np.uint8)
         for b in batches:
             b = b.filter(pa.array(bloom.may_hold(b.column(0).to_numpy())))
-            sets = [shingles(t, words) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "set"])
+            sets = {_key(_class_of(s)): s.view(np.int64) for s in (shingles(t, words) for t in b.column(1).to_pylist()) if len(s)}
+            sets = {k: s for k, s in sets.items() if k not in seen}
+            seen.update(sets)
+            yield pa.record_batch([pa.array(sets, pa.int64()), pa.array(sets.values(), pa.list_(pa.int64()))], ["cls", "set"])
 
     return run
 
@@ -195,123 +262,155 @@ def _apart(bits_a: str, bits_b: str):
     return F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _near(n_a: str, bits_a: str, n_b: str, bits_b: str, percent: int):
+def _near(percent: int):
     """Suffix filter: whether the Hamming distance of the whole sets, bound by their bitmaps, leaves enough overlap."""
-    n = F.col(n_a) + F.col(n_b)
-    return F.floor((n - _apart(bits_a, bits_b)) / 2) >= _needed(F.col(n_a), F.col(n_b), percent)
+    n = F.col("n_a") + F.col("n_b")
+    return F.floor((n - _apart("bits_a", "bits_b")) / 2) >= _needed(F.col("n_a"), F.col("n_b"), percent)
+
 
+def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b, rep_a, rep_b, apart of the pairs(a, b) that pass the suffix filter."""
+    of = lambda x: classes.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "bits")))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(_near(percent))
+    return both.select("a", "b", "rep_a", "rep_b", _apart("bits_a", "bits_b").alias("apart"))
 
-def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Links (a, b) between class representatives among pairs(a, b) of class keys; the suffix filter comes first.
 
-    A class has one document's set fetched; a filter of the wanted ids keeps other texts out of the shuffle.
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of each class, its nearest pair."""
+    pair = F.struct("apart", "a", "b", "rep_a", "rep_b").alias("p")
+    ends = pairs.select(F.col("a").alias("x"), pair).union(pairs.select("b", pair))
+    return ends.groupBy("x").agg(F.min("p").alias("p")).select("p.*").distinct()
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int, cut) -> DataFrame | None:
+    """Links (a, b) between classes among pairs(a, b, rep_a, rep_b), over whole sets.
+
+    A filter of the wanted ids keeps other texts out of the shuffle.
     """
-    spark = documents.sparkSession
-    of = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    pairs = pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(_near("n_a", "bits_a", "n_b", "bits_b", percent))
-    pairs = cut(pairs.select("a", "b").distinct())
-    if pairs.isEmpty():
-        return None
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    reps = cut(classes.join(wanted, "cls").select("cls", "rep"))
+    reps = pairs.select(F.col("rep_a").alias("id")).union(pairs.select("rep_b")).distinct()
+    reps = cut(reps)
     n = reps.count()
-    bits = reps.select("rep").mapInArrow(_bits(n), "bits binary").repartition(8).mapInArrow(_ored, "bits binary").coalesce(1).mapInArrow(_ored, "bits binary")
-    bits_b = spark.sparkContext.broadcast(bytes(bits.collect()[0][0]))
-    found = documents.mapInArrow(_sets(words, n, bits_b), "id long, set array<long>")
-    # A repeated id may bring several sets: those of all its rows, of which each is then compared.
-    sets = cut(found.join(reps, found["id"] == reps["rep"]).select("cls", "rep", "set"))
-    side = lambda x: sets.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "set")))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    if not n:
+        return None
+    bits = reps.mapInArrow(_bits(n), "bits binary").repartition(8).mapInArrow(_ored, "bits binary").coalesce(1).mapInArrow(_ored, "bits binary")
+    bits_b = documents.sparkSession.sparkContext.broadcast(bytes(bits.collect()[0][0]))
+    sets = documents.mapInArrow(_sets(words, n, bits_b), "cls long, set array<long>").dropDuplicates(["cls"])
+    side = lambda x: sets.select(F.col("cls").alias(x), F.col("set").alias(f"set_{x}"))
+    both = pairs.select("a", "b", "rep_a", "rep_b").join(side("a"), "a").join(side("b"), "b")
     need = _needed(F.size("set_a"), F.size("set_b"), percent)
-    return cut(both.where(F.size(F.array_intersect("set_a", "set_b")) >= need).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+    links = cut(both.where(F.size(F.array_intersect("set_a", "set_b")) >= need).select("a", "b"))
+    discard(reps)
+    return links
 
 
 def _labels(classes: DataFrame, found: DataFrame) -> DataFrame:
     """cls, comp: the component of each class."""
-    member = classes.join(found, found["id"] == classes["rep"], "left").select("cls", F.coalesce("component", "rep").alias("comp"))
-    return cut(member.groupBy("cls").agg(F.min("comp").alias("comp")))
+    return classes.join(found, found["id"] == classes["cls"], "left").select("cls", F.coalesce("component", "cls").alias("comp"))
 
 
-def _open(postings: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """The postings of shingles whose classes are in several components, with comp, the shingle's largest (most), n, bits.
+def _open(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings of shingles whose classes are in several components, with comp and the shingle's largest (most).
 
-    A shingle of two classes has one pair, which met its pivot in round one; the caller keeps those not verified there.
     Components only grow together, so a shingle that is left out once need not be looked at again.
     """
-    marked = cut(postings.select("token", "cls", "pack").join(_labels(classes, found), "cls"))
+    marked = postings.select("token", "cls", "pack").join(labels, "cls")
     sizes = marked.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
-    open_ = sizes.groupBy("token").agg(F.max_by("comp", "m").alias("most"), F.count(F.lit(1)).alias("k"), F.sum("m").alias("all")).where("k > 1 and all > 2").select("token", "most")
-    return cut(marked.join(open_, "token").join(classes.select("cls", "n", "bits"), "cls"))
+    open_ = sizes.groupBy("token").agg(F.max_by("comp", "m").alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "most")
+    return marked.join(open_, "token")
+
+
+def _to_pivot(postings: DataFrame, percent: int, apart: bool) -> DataFrame:
+    """Pairs (a, b) of each class with the pivot of its shingle: the most central class at first.
+
+    Once components are known (`apart`) it is a random one that has the shingle early in its prefix, where the positional
+    filter lets most of the others by, and only classes of other components meet it.
+    """
+    n, at = (F.shiftright("pack", x).bitwiseAND(F.lit((1 << 28) - 1)) for x in (28, 0))
+    order = F.struct(n - at >= _needed(n, n, percent), F.xxhash64("cls", "token"), "cls") if apart else F.struct("pack", "cls")
+    pivot = postings.groupBy("token").agg(F.max_by(F.struct("cls", "pack", *(["comp"] if apart else [])), order).alias("p"))
+    met = postings.join(pivot, "token").where(F.col("cls") != F.col("p.cls")).withColumn("pack_p", F.col("p.pack"))
+    if apart:
+        met = met.where(F.col("comp") != F.col("p.comp"))
+    return met.where(_passes("pack", "pack_p", percent)).select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"))
+
+
+def _between(postings: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of open postings in different components of a shingle that pass all three filters.
+
+    One side has the postings outside their shingle's largest component, so a group that is together meets none of its
+    own, and only postings of neighbouring size bands meet. In a shingle of many classes that don't link this compares
+    them all, as any prefix filter does; the join writes only the pairs that pass.
+    """
+    n = F.shiftright("pack", 28).bitwiseAND(F.lit((1 << 28) - 1))
+    band = F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9) if percent < 100 else n
+    side = lambda x: [F.col("token"), *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "pack", "comp", "most", "n", "bits"))]
+    near = F.explode(F.sequence(band - 1, band + 1)) if percent < 100 else band
+    a, b = postings.where("comp <> most").select(*side("a"), near.alias("band")), postings.select(*side("b"), band.alias("band"))
+    apart = F.expr("comp_a <> comp_b and (comp_b = most_b or cls_a < cls_b)") & _passes("pack_a", "pack_b", percent) & _near(percent)
+    return a.join(b, (a["token"] == b["token"]) & (a["band"] == b["band"]) & apart).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
 
 
 def jaccard_components(documents: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id of every row of documents(doc_id, text).
+    """doc_id, n_shingles, class_id, component_id, component, text_hash of every row of documents(doc_id, text).
 
-    class_id is the smallest doc_id with the same set, component_id the smallest doc_id reachable by links.
-    Null and empty texts: n_shingles 0, linked with nothing. A null doc_id is reported, never linked. Rows
-    that repeat a doc_id are reported as often; where their texts differ, the id is a member of the component of each.
-    Other columns are not read, whatever their names.
+    class_id is the smallest doc_id with the same set, component_id the smallest doc_id reachable by links; component is
+    a key of the component itself (null: no words or no id), text_hash is xxhash64 of the text.
+    Null and empty texts: n_shingles 0, linked with nothing. A null doc_id is reported, never linked. Rows that repeat a
+    doc_id are reported as often, each with the component of its own text. Only components are built, so links inside
+    one are not counted. An empty table gives no rows. Other columns are not read, whatever their names.
     """
     spark, percent = documents.sparkSession, round(100 * threshold)
     bounded_batches(spark)
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = cut(documents.mapInArrow(_scan(words), "doc_id long, n long, sig binary, cls long, bits array<long>, counts binary"))
-    parts = scanned.where("counts is not null").select("counts")
-    parts = parts.repartition(16).mapInArrow(_summed, "counts binary").coalesce(1).mapInArrow(_summed, "counts binary")
-    counts_b = spark.sparkContext.broadcast(bytes(parts.collect()[0][0]))
-    rows = scanned.where("counts is null").select("doc_id", "n", "sig", "cls", "bits")
-    classes = cut(rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("cls").alias("cls"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-
-    named = documents.where("doc_id is not null")
-    posts = named.select("text").mapInArrow(_postings(counts_b, words, percent), "token long, cls long, pack long, salt int")
-    # Most shingles occur in one class only and end here, after the one shuffle that all postings go through.
-    near = Window.partitionBy("token", "salt")
-    posts = posts.withColumn("before", F.lag("cls").over(near.orderBy("cls")))  # tasks drop copies on their own only
-    posts = posts.withColumn("lo", F.min("cls").over(near)).withColumn("hi", F.max("cls").over(near))
-    shared = cut(posts.where("(salt > 0 or lo <> hi) and not before <=> cls").select("token", "cls", "pack"))
-    pivots = shared.groupBy("token").agg(F.max_by("cls", "pack").alias("p"), F.max("pack").alias("pp"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "p", "pp", (F.col("m") == 2).alias("two"))
-    met = shared.join(pivots, "token").where("cls <> p").where(_passes("pack", "pp", percent))
-    # Of a class's pivots, the one it shares most with: no more pairs than classes in a round.
-    # The other pairs of shingles that only two classes have are kept: no later pivot brings them together.
-    ends = [F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")]
-    met = cut(met.groupBy("cls", "p").agg(F.count(F.lit(1)).alias("k"), F.max("two").alias("two")))
-    first = cut(met.groupBy("cls").agg(F.max_by("p", "k").alias("p")).select(*ends).distinct())
-    twos = cut(met.where("two").select(*ends).distinct().join(first, ["a", "b"], "left_anti"))
-    links = _verified(first, classes, named, words, percent)
-    if links is None:
-        links = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-
-    found = components(links)
-    left = shared
-    for round_ in range(ROUNDS):  # other pivots, one a shingle, join what the central ones left apart
-        left = _open(left, classes, found)
-        pivot = left.groupBy("token").agg(F.max_by("cls", F.xxhash64("cls", "token", F.lit(round_))).alias("cls_p"))
-        as_pivot = left.select("token", *(F.col(c).alias(f"{c}_p") for c in ("cls", "pack", "comp", "bits", "n")))
-        met = left.join(pivot.join(as_pivot, ["token", "cls_p"]), "token").where(F.col("comp") != F.col("comp_p"))
-        met = met.where(_passes("pack", "pack_p", percent) & _near("n", "bits", "n_p", "bits_p", percent))
-        best = met.groupBy("cls").agg(F.max_by("cls_p", -_apart("bits", "bits_p")).alias("p"))
-        more = _verified(best.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")), classes, named, words, percent)
-        if more is None or more.isEmpty():
-            break
-        links = cut(links.union(more))
-        found = components(links)
-    # All pairs that are left. One side has the postings outside their shingle's largest component: a group that is
-    # together meets none of its own.
-    left = _open(left, classes, found)
-    side = lambda x: left.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "pack", "comp", "bits", "n", "most")))
-    a, b = side("a").where("comp_a <> most_a"), side("b")
-    apart = F.expr("comp_a <> comp_b and (comp_b = most_b or cls_a < cls_b)") & _passes("pack_a", "pack_b", percent) & _near("n_a", "bits_a", "n_b", "bits_b", percent)
-    rest = a.join(b, (a["token"] == b["token"]) & apart).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
-    comp = _labels(classes, found)
-    of = lambda x: comp.select(F.col("cls").alias(x), F.col("comp").alias(f"comp_{x}"))
-    twos = twos.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select("a", "b")
-    more = _verified(rest.union(twos), classes, named, words, percent)
-    if more is not None and not more.isEmpty():
-        found = components(links.union(more))
-    of = classes.join(found, found["id"] == classes["rep"], "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
-    out = rows.drop("cls", "bits").join(of, "sig", "left")
-    linked = F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("rep", "doc_id")).alias("class_id"), F.when(linked, F.coalesce("component", "doc_id")).alias("component_id"))
+    text = F.col("text").cast("string")
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    with scratch() as cut:
+        scanned = cut(documents.mapInArrow(_scan(words), "doc_id long, th long, n long, sig binary, cls long, bits array<long>, slice int, counts binary"))
+        counts = np.zeros(COUNTERS, np.int64).reshape(SLICES, -1)
+        for r in scanned.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_summed, "slice int, counts binary").collect():
+            counts[r["slice"]] += np.frombuffer(bytes(r["counts"]), np.int64)  # SLICES rows
+        counts = counts.reshape(-1)
+        ranks = np.empty(COUNTERS, np.uint64)
+        ranks[np.argsort(counts, kind="stable")] = np.arange(COUNTERS, dtype=np.uint64)
+        counts_b = spark.sparkContext.broadcast((counts, ranks))
+        rows = scanned.where("slice is null").select("doc_id", "th", "n", "sig", "cls", "bits")
+        classes = cut(rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("cls").alias("cls"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+
+        named = documents.where("doc_id is not null").select("doc_id", "text")
+        # A shingle with a tenth of a task's share of the postings is dealt over several tasks.
+        load = max(1000.0, counts.sum() * (100 - percent) / 1000 / int(spark.conf.get("spark.sql.shuffle.partitions")))
+        posts = named.select("text").mapInArrow(_postings(counts_b, words, percent, load), "token long, cls long, pack long, salt int")
+        # Most shingles occur in one class only and end here, after the one shuffle that all postings go through.
+        posts = posts.repartition("token", "salt").sortWithinPartitions("token", "salt", "cls")
+        met = cut(posts.mapInArrow(_meetings(percent), "token long, a long, b long, pack long"), ROWS)
+        frequent = met.where("token is not null").select("token", F.col("a").alias("cls"), "pack").distinct()
+        star = _to_pivot(frequent, percent, apart=False)
+        pairs = cut(_candidates(met.where("token is null").select("a", "b").union(star).distinct(), classes, percent))
+
+        tried = cut(_nearest(pairs))
+        links = _verified(tried, named, words, percent, cut)
+        if links is None:
+            links = cut(classes.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0))
+        found, done = components(links), tried.select("a", "b")
+        for last in (False, True):
+            labels = cut(_labels(classes, found))
+            frequent = cut(_open(frequent, labels))
+            more = _between(frequent.join(classes.select("cls", "n", "bits"), "cls"), percent) if last else _to_pivot(frequent, percent, apart=True)
+            left = pairs.select("a", "b").union(more).distinct().join(done, ["a", "b"], "left_anti")
+            of = lambda x, labels=labels: labels.select(F.col("cls").alias(x), F.col("comp").alias(f"comp_{x}"))
+            left = left.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select("a", "b")
+            pairs = cut(_candidates(left, classes, percent))
+            tried = pairs if last else cut(_nearest(pairs))
+            done = done.union(tried.select("a", "b"))
+            more = _verified(tried, named, words, percent, cut)
+            if more is not None:
+                links = cut(links.union(more))
+                found = components(links)
+        comps = cut(_labels(classes, found).join(classes.select("cls", "rep"), "cls"))
+        least = comps.groupBy("comp").agg(F.min("rep").alias("component_id"))
+        of = comps.join(least, "comp").select("cls", "rep", "comp", "component_id")
+        linked = F.col("doc_id").isNotNull()
+        out = rows.drop("bits", "sig").join(of, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("rep", "doc_id")).alias("class_id"), F.when(linked, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(linked, F.col("comp")).alias("component"), F.col("th").alias("text_hash"))
+        return cut.keep(cut(out))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
