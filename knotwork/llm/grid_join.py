@@ -4,22 +4,25 @@ Vectors of unit length with cosine >= t lie within eps = sqrt(2 - 2t). They are
 dimensions, sorted by the grid cells of the leading ones, and cut into a sequence of blocks. Two blocks are joined
 only if the boxes around their leading coordinates come within eps; inside, both intervals are halved recursively
 and distant halves skipped. What is left is compared by a bound from half of the dimensions first and in double
-precision last. Turning is a rotation, so all of these bounds are exact.
+precision last, on the vectors as they are. Turning is a rotation, so bounds on turned vectors hold but for rounding, for
+which they leave room.
 
-A pair of blocks returns the number of links of each vector and a spanning forest of the links, at most one
-row a vector each, however many links there are.
+Equal vectors are one class, compared once and counted as often as it has members. A pair of blocks returns the number
+of links of each class and a spanning forest of the links, at most one row a class each, however many links there are.
+The driver holds the boxes of the blocks (200 bytes for up to 16,384 vectors).
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, scratch, table
 
 #: Coordinates in the sort key and the boxes.
 LEADING = 8
@@ -65,34 +68,38 @@ def _moments(batches):
 
 
 def _turned(axes_b):
+    """id, dimension, grid cells, bytes and key (of the bytes) of the vectors that can link."""
+
     def run(batches):
         axes = axes_b.value
         for b in batches:
             rows = _valid(b)
+            raw = [(x + 0.0).tobytes() for _, x, _ in rows]  # -0.0 is 0.0
+            keys = [int.from_bytes(hashlib.blake2b(v, digest_size=8).digest(), "little", signed=True) for v in raw]
             cells = [[int(np.floor(c)) for c in (axes[len(y)][:, :LEADING].T @ y) * 8] for _, _, y in rows]
-            yield pa.record_batch([pa.array([i for i, _, _ in rows], pa.int64()), pa.array([len(y) for _, _, y in rows], pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array([x.tobytes() for _, x, _ in rows], pa.binary())], ["id", "d", "cells", "v"])
+            yield pa.record_batch([pa.array([i for i, _, _ in rows], pa.int64()), pa.array([len(y) for _, _, y in rows], pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(raw, pa.binary()), pa.array(keys, pa.int64())], ["id", "d", "cells", "v", "key"])
 
     return run
 
 
-def _load(data, d: int, kind: str, axes: dict[int, np.ndarray]) -> np.ndarray:
-    """Vectors of a block at unit length, turned to the principal dimensions."""
+def _load(data, d: int, kind: str, axes: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of a block: at unit length and turned to the principal dimensions; as they are, and their lengths."""
     raw = np.frombuffer(data, kind).reshape(-1, d)
     x = raw.astype(np.float64)
-    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+    with np.errstate(over="ignore"):
         norms = np.sqrt(np.einsum("ij,ij->i", x, x))
-        odd = np.flatnonzero(~(np.isfinite(norms) & (norms > 1e-100)))
-        x /= norms[:, None]
-    for i in odd:
-        x[i] = _unit(raw[i])
-    return x @ axes[d]
+    for i in np.flatnonzero(~(np.isfinite(norms) & (norms > 1e-100) & (norms < 1e100))):
+        x[i], norms[i] = _unit(raw[i]), 1.0
+    return (x / norms[:, None]) @ axes[d], x, norms
 
 
 def _blocks(size: int, kind: str, axes_b):
-    """Cuts the sorted rows of a partition into blocks of one dimension and at most `size` vectors."""
+    """Cuts the sorted rows of a partition into blocks of one dimension and at most `size` vectors.
+
+    ids holds the key and the number of members of each."""
 
     def block(part, k, d, ids, data):
-        x = _load(b"".join(data), d, kind, axes_b.value)[:, :LEADING]
+        x = _load(b"".join(data), d, kind, axes_b.value)[0][:, :LEADING]
         return (part, k, d, np.array(ids, np.int64).tobytes(), b"".join(data), x.min(0).tolist(), x.max(0).tolist())
 
     def run(batches):
@@ -105,12 +112,12 @@ def _blocks(size: int, kind: str, axes_b):
             return pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["part", "k", "d", "ids", "data", "lo", "hi"])
 
         for b in batches:
-            for i, dim, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for i, dim, v, times in zip(*(b.column(c).to_pylist() for c in ("key", "d", "v", "times")), strict=True):
                 if ids and (dim != d or len(ids) >= size):
                     yield out(block(part, k, d, ids, data))
                     k, ids, data = k + 1, [], []
                 d = dim
-                ids.append(i)
+                ids.append((i, times))
                 data.append(v)
         if ids:
             yield out(block(part, k, d, ids, data))
@@ -127,7 +134,8 @@ def _gap(lo_a, hi_a, lo_b, hi_b) -> np.ndarray:
 def _joined(eps2: float, cosine: float, kind: str, axes_b):
     """Links inside and between the two blocks of each row."""
 
-    def links(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    def links(one: tuple, two: tuple, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        (a, raw_a, norms_a), (b, raw_b, norms_b) = one, two
         found: list[tuple[np.ndarray, np.ndarray]] = []
         half = max(1, a.shape[1] // 2)
 
@@ -151,7 +159,7 @@ def _joined(eps2: float, cosine: float, kind: str, axes_b):
                     i, j = i[i < j], j[i < j]
                 for at in range(0, len(i), 65536):
                     p, q = i[at : at + 65536], j[at : at + 65536]
-                    ok = np.einsum("ij,ij->i", a[p], b[q]) >= cosine
+                    ok = np.einsum("ij,ij->i", raw_a[p], raw_b[q]) / (norms_a[p] * norms_b[q]) >= cosine
                     found.append((p[ok], q[ok]))
                 return
             ma, mb = ((a0 + a1) // 2, (b0 + b1) // 2)
@@ -178,19 +186,21 @@ def _joined(eps2: float, cosine: float, kind: str, axes_b):
             for r in range(batch.num_rows):
                 ids, data, ids2, data2, d = (batch.column(c)[r] for c in ("ids", "data", "ids2", "data2", "d"))
                 same = not ids2.is_valid
-                ids = np.frombuffer(ids.as_buffer(), np.int64)
-                other = ids if same else np.frombuffer(ids2.as_buffer(), np.int64)
+                ids, times = np.frombuffer(ids.as_buffer(), np.int64).reshape(-1, 2).T
+                other, times2 = (ids, times) if same else np.frombuffer(ids2.as_buffer(), np.int64).reshape(-1, 2).T
                 a = _load(data.as_buffer(), d.as_py(), kind, axes_b.value)
                 b = a if same else _load(data2.as_buffer(), d.as_py(), kind, axes_b.value)
                 i, j = links(a, b, same)
                 if not len(i):
                     continue
                 if not same:
-                    ids, j = np.concatenate([ids, other]), j + len(ids)
-                count = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+                    ids, times, j = np.concatenate([ids, other]), np.concatenate([times, times2]), j + len(ids)
+                count = np.zeros(len(ids), np.int64)
+                np.add.at(count, i, times[j])
+                np.add.at(count, j, times[i])
                 label = forest(len(ids), i, j)
                 at = np.flatnonzero(count)
-                yield pa.record_batch([pa.array(ids[at]), pa.array(count[at].astype(np.int64)), pa.array(ids[label[at]])], ["id", "n", "root"])
+                yield pa.record_batch([pa.array(ids[at]), pa.array(count[at]), pa.array(ids[label[at]])], ["id", "n", "root"])
 
     return run
 
@@ -235,7 +245,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, block: int | Non
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
     different dimensions or without an id. Rows that repeat an id are vectors of their own: each counts as a link
-    of the other if close, and both report the id's sum. Other columns are not read.
+    of the other if close, and both report the id's sum and the smaller of their components. An empty table gives no rows.
+    Other columns are not read.
     """
     spark, eps2 = embeddings.sparkSession, 2 - 2 * cosine
     single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
@@ -248,32 +259,34 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, block: int | Non
         moments.setdefault(r["d"], np.zeros((r["d"], r["d"])))[r["i"], r["j"]] = r["x"]
     axes = {d: np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy() for d, m in moments.items()}
     axes_b = spark.sparkContext.broadcast(axes)
-    turned = cut(rows.mapInArrow(_turned(axes_b), "id long, d int, cells array<int>, v binary"))
-    n = turned.count()
-    # Blocks grow with the input, so that their number, of which the driver holds the boxes, stays small.
-    size = block or int(min(16384, max(1024, n // 2048)))
-    ordered = turned.repartitionByRange(max(1, -(-n // (4 * size))), "d", "cells", "id").sortWithinPartitions("d", "cells", "id")
-    blocks = cut(ordered.mapInArrow(_blocks(size, kind, axes_b), "part int, k int, d int, ids binary, data binary, lo array<double>, hi array<double>"))
-    meta = sorted((r["part"], r["k"], r["d"], r["lo"], r["hi"]) for r in blocks.select("part", "k", "d", "lo", "hi").collect())
-    wide = lambda x: np.array([v + [0.0] * (LEADING - len(v)) for v in x]).reshape(-1, LEADING)
-    meta_b = spark.sparkContext.broadcast((wide([m[3] for m in meta]), wide([m[4] for m in meta]), [m[2] for m in meta], [m[:2] for m in meta]))
-    pairs = cut(blocks.select("part", "k").repartition(max(1, min(64, len(meta)))).mapInArrow(_near(meta_b, eps2), "part int, k int, part2 int, k2 int"))
-    one = blocks.select("part", "k", "d", "ids", "data")
-    two = blocks.select(F.col("part").alias("part2"), F.col("k").alias("k2"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
-    twin = (F.col("part") == F.col("part2")) & (F.col("k") == F.col("k2"))
-    both = pairs.join(one, ["part", "k"]).join(two, ["part2", "k2"]).select("d", "ids", "data", F.when(~twin, F.col("ids2")).alias("ids2"), F.when(~twin, F.col("data2")).alias("data2"))
-    key, was = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set(key, "4")  # rows of megabytes
-    try:
-        found = cut(both.mapInArrow(_joined(eps2, cosine, kind, axes_b), "id long, n long, root long"))
-    finally:
-        spark.conf.set(key, was)
-    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    of = counts.join(comps, "id", "left").select(F.col("id").alias("_i"), "n", "component")
-    out = rows.select(F.col("id").alias("vec_id")).join(of, F.col("vec_id") == F.col("_i"), "left")
-    comp = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("vec_id"), F.lit(True)).alias("kept"))
+    with scratch() as cut:
+        turned = cut(rows.mapInArrow(_turned(axes_b), "id long, d int, cells array<int>, v binary, key long"))
+        classes = cut(turned.groupBy("key", "d", "v").agg(F.first("cells").alias("cells"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("times")))
+        n = classes.count()
+        # Blocks grow with the input, so that their number, of which the driver holds the boxes, stays small.
+        size = block or int(min(16384, max(1024, n // 2048)))
+        ordered = classes.repartitionByRange(max(1, -(-n // (4 * size))), "d", "cells", "key").sortWithinPartitions("d", "cells", "key")
+        blocks = cut(ordered.select("key", "d", "v", "times").mapInArrow(_blocks(size, kind, axes_b), "part int, k int, d int, ids binary, data binary, lo array<double>, hi array<double>"))
+        meta = sorted((r["part"], r["k"], r["d"], r["lo"], r["hi"]) for r in blocks.select("part", "k", "d", "lo", "hi").collect())
+        wide = lambda x: np.array([v + [0.0] * (LEADING - len(v)) for v in x]).reshape(-1, LEADING)
+        meta_b = spark.sparkContext.broadcast((wide([m[3] for m in meta]), wide([m[4] for m in meta]), [m[2] for m in meta], [m[:2] for m in meta]))
+        pairs = cut(blocks.select("part", "k").repartition(max(1, min(64, len(meta)))).mapInArrow(_near(meta_b, eps2), "part int, k int, part2 int, k2 int"))
+        one = blocks.select("part", "k", "d", "ids", "data")
+        two = blocks.select(F.col("part").alias("part2"), F.col("k").alias("k2"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
+        twin = (F.col("part") == F.col("part2")) & (F.col("k") == F.col("k2"))
+        both = pairs.join(one, ["part", "k"]).join(two, ["part2", "k2"]).select("d", "ids", "data", F.when(~twin, F.col("ids2")).alias("ids2"), F.when(~twin, F.col("data2")).alias("data2"))
+        found = cut(both.mapInArrow(_joined(eps2, cosine, kind, axes_b), "id long, n long, root long"), batch=4)  # rows of megabytes
+        counts = found.groupBy("id").agg(F.sum("n").alias("n"))
+        comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        least = comps.join(classes, comps["id"] == classes["key"]).groupBy("component").agg(F.min("rep").alias("least"))
+        joined = comps.join(least, "component").join(counts, "id", "left").select("id", "least", "n")
+        of = classes.select("key", "rep", "times").join(joined, F.col("key") == F.col("id"), "left")
+        of = of.select("key", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n"), F.coalesce("least", "rep").alias("least"))
+        # An id that repeats reports the sum of its vectors, and the smallest component.
+        own = turned.select("id", "key").join(of, "key").groupBy("id").agg(F.sum("n").alias("n"), F.min("least").alias("component")).select(F.col("id").alias("_i"), "n", "component")
+        out = rows.select(F.col("id").alias("vec_id")).join(own, F.col("vec_id") == F.col("_i"), "left")
+        comp = F.coalesce("component", "vec_id")
+        return cut.keep(cut(out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("vec_id"), F.lit(True)).alias("kept"))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
