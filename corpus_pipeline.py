@@ -10,30 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.llm import jaccard_join, mixing, packing, pii, quality
-from knotwork.llm.common import cut, table
+from knotwork.llm.common import cut, discard, rowed, table
 
 #: Share of all tokens that the mix takes, each document at most once.
 MIX_SHARE, MIX_EPOCHS = (9, 10), 1
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts 1 for."""
+    """Documents that the quality classifier predicts 1 for; all of them where there are no labels."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scores(docs, model).where("score >= 0.5").select(docs.columns)
+    return quality.scores(docs, model).where("score >= 0.5").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by shingles, the one with the smallest id; documents without words all stay."""
-    found = jaccard_join.jaccard_components(docs)
-    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    # A row that repeats an id and a text is a copy too.
-    twice = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
-    twice = cut(twice)
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, kept["doc_id"].cast("long") == twice["_twice"])
-    return kept.join(twice, kept["doc_id"].cast("long") == twice["_twice"], "left_anti").union(again.select(docs.columns).dropDuplicates(["doc_id"]))
+    """Of each group of documents linked by shingles one row, the one with the smallest id (of its texts the one with the
+    smallest hash); documents without words and rows without an id all stay."""
+    found = jaccard_join.jaccard_components(docs).where("component is not null")
+    keys = found.groupBy("component", F.struct("doc_id", "text_hash").alias("key")).agg(F.count(F.lit(1)).alias("times"))
+    groups = keys.groupBy("component").agg(F.sum("times").alias("size"), F.min("key").alias("first")).where("size > 1")
+    grouped = cut(keys.join(groups, "component").select(F.col("key.doc_id").alias("id"), F.col("key.text_hash").alias("hash"), "times", (F.col("key") == F.col("first")).alias("stays")))
+    rows = rowed(docs, doc_id=F.col("doc_id").cast("long"), text_hash=F.xxhash64(F.col("text").cast("string")))
+    of = rows.join(grouped, (rows["doc_id"] == grouped["id"]) & (rows["text_hash"] == grouped["hash"]), "left")
+    single = of.where("stays is null or stays and times = 1").select("row")
+    several = of.where("stays and times > 1").dropDuplicates(["id", "hash"]).select("row")
+    return single.union(several).select("row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +60,13 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The classifier is no SQL; the pipeline is tested against brute-force versions of its stages.
+#: The classifier is no SQL; tests/llm holds the stages against plain versions of them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
