@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 from knotwork.llm import chat, grid_join, jaccard_join, minhash, mixing, packing, pii, quality, sharding, url_filter
+from pyspark.sql import functions as F
+
 from knotwork.llm.queries import oracle_sql, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank string"
@@ -65,11 +67,6 @@ def test_jaccard_cases(spark):
     assert (1, 0, 1) in got and (2, 0, 2) in got and got.count((3, 1, 3)) == 2 and (5, 196, 4) in got and (6, 197, 4) in got
 
 
-@pytest.mark.parametrize("run", [jaccard_join.jaccard_components, pii.extract, mixing.mix, sharding.shard, minhash.fingerprints, lambda d: packing.pack(d, packing.default_path())])
-def test_empty_tables(spark, run):
-    assert run(documents(spark, CASES).where("false")).count() == 0
-
-
 def test_grid_join_brute(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 16)).astype(np.float32)
@@ -283,3 +280,88 @@ def test_pipeline(spark):
         assert docs.columns == columns and 0 < docs.count() <= before, name
     assert not [r for r in docs.collect() if re.search(r"\d+\.\d+\.\d+\.\d+", r["text"]) and pii.base_spans(r["text"])]
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_grid_join_at_the_threshold(spark):
+    """Pairs at a cosine of exactly 0.9 link, whatever the other rows are; equal vectors and ids count as rows."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        x = [[10.0, 0.0, 0.0, 0.0, 0.0, 0.0], [9.0, 3.0, 3.0, 1.0, 0.0, 0.0], [0.0, 0.0, 0.0, 0.0, 10.0, 0.0], [3.0, 3.0, 1.0, 0.0, 9.0, 0.0], *rng.normal(size=(40, 6)).tolist()]
+        x += [x[7]] * 5
+        got = {r["vec_id"]: r for r in grid_join.near_duplicates(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>"), block=8).collect()}
+        u = np.array(x)
+        n = np.sqrt((u * u).sum(1))
+        s = np.array([[float(a @ b) / (n[i] * n[j]) >= 0.9 for j, b in enumerate(u)] for i, a in enumerate(u)])
+        np.fill_diagonal(s, False)
+        root = list(range(len(x)))
+        for i, j in zip(*np.nonzero(s)):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        assert s[0, 1] and s[2, 3]
+        assert [got[i]["n_links"] for i in range(len(x))] == s.sum(1).tolist()
+        assert [got[i]["component_id"] for i in range(len(x))] == root and all(r["kept"] == (i == root[i]) for i, r in got.items())
+
+
+CLASH = ["row", "_h", "_d", "_th", "_l", "_s", "score", "rank", "found", "id", "hash", "key", "cls", "component", "stays", "th", "Tokens"]
+
+
+def clashing(spark, rows):
+    texts = documents(spark, rows)
+    return texts.select("*", *(F.lit(f"kept {c}").alias(c) for c in CLASH if c not in texts.columns))
+
+
+OPERATORS = {
+    "jaccard": jaccard_join.jaccard_components,
+    "pii": pii.extract,
+    "redact": pii.redact,
+    "mix": mixing.mix,
+    "mixed": mixing.mixed,
+    "shard": sharding.shard,
+    "fingerprints": minhash.fingerprints,
+    "pack": lambda d: packing.pack(d, packing.default_path()),
+    "classify": lambda d: quality.classify(d, d.sparkSession.createDataFrame([(4, 1, 0), (6, 0, 0), (None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")),
+    "classify without labels": lambda d: quality.classify(d, d.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int")),
+    "urls": lambda d: url_filter.judge(d.selectExpr("doc_id as page_id", "text as url", "*"), d.sparkSession.createDataFrame([(4, None, 0)], "doc_id long, quality int, toxic int")),
+    "vectors": lambda d: grid_join.near_duplicates(d.selectExpr("doc_id as vec_id", "array(cast(doc_id as float), 1f, null) as embedding", "*")),
+    "chat": lambda d: chat.digests(d.selectExpr("doc_id as conv_id", "0 as turn", "lang as role", "text", "source")),
+    "near_duplicates": lambda d: __import__("corpus_pipeline").drop_near_duplicates(d.sparkSession, d, ""),
+    "personal_data": lambda d: __import__("corpus_pipeline").mask_personal_data(d.sparkSession, d, ""),
+    "mixing": lambda d: __import__("corpus_pipeline").mix_sources(d.sparkSession, d, ""),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_all_cases(spark, name):
+    """Nulls, empty and long texts, ties, repeated rows and clashing names; and the empty table."""
+    d, run = clashing(spark, CASES), OPERATORS[name]
+    rows = run(d).collect()
+    assert rows and run(d.where("false")).count() == 0
+    if name in ("redact", "mixed", "near_duplicates", "personal_data", "mixing"):
+        assert run(d).columns == d.columns and all(r[c] == f"kept {c}" for r in rows for c in CLASH if c != "rank")
+    elif name not in ("mix", "pack", "chat"):
+        assert len(rows) == len(CASES)
+
+
+def test_quality_without_labels_scores_half(spark):
+    assert {r["score"] for r in OPERATORS["classify without labels"](documents(spark, CASES)).collect()} == {0.5}
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    other = " ".join(f"v{i}" for i in range(200))
+    rows = [(1, WORDS), (1, other), (2, WORDS + " x"), (2, WORDS + " x"), (3, other), (4, None), (4, None), (5, "alone here"), (5, "alone here")]
+    kept = sorted((r["doc_id"], r["text"] or "") for r in corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "").collect())
+    assert kept == sorted([(1, WORDS), (1, other), (4, ""), (4, ""), (5, "alone here")])
+
+
+def test_url_templates_need_evidence_and_any_depth(spark):
+    """Bad pages below level 8; a branch without labels neither merges nor is blocked; a tie of good and bad is allowed."""
+    deep = "/".join("abcdefghij")
+    kinds = [f"{deep}/bad", f"{deep}/good", "fresh", "tie"]
+    urls = [(i, f"http://h.net/{kinds[i % 4]}/{i // 4}") for i in range(160)]
+    marks = [(i, 0 if i % 4 == 0 or i % 8 == 3 else 1, 0) for i in range(80) if i % 4 != 2]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge(pages, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[i]["verdict"] == ("block" if i % 4 == 0 else "allow") for i in got)
+    assert got[0]["template"].endswith("/i/j/bad/{n}") and got[2]["template"] == "/fresh/{n}"
