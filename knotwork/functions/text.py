@@ -134,9 +134,76 @@ def question_slug(x: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(x), "[^A-Za-z0-9_]", "_"), "^_+|_+$", ""), 1, 50)
 
 
+#: Hosts that give out a machine's credentials.
+BLOCKED_HOSTS = ("metadata.google.internal", "metadata.google.com")
+_BYTE = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
+
+def is_address(x: Column) -> Column:
+    """Whether a host is an IPv4 or IPv6 address, and not a name."""
+    four = F.rlike(x, F.lit(rf"^{_BYTE}(\.{_BYTE}){{3}}$"))
+    six = F.rlike(x, F.lit(r"^[0-9A-Fa-f]{0,4}(:[0-9A-Fa-f]{0,4}){2,7}$"))
+    return four | six
+
+
 def private_ip(x: Column) -> Column:
-    """Addresses that a fetch must not reach."""
-    return F.rlike(F.lower(x), F.lit(r"^(0\.|10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|::1$|fc|fd|fe80:)"))
+    """Addresses that a fetch must not reach; names are none, whatever they begin with."""
+    near = F.rlike(F.lower(x), F.lit(r"^(10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|::1$|fc|fd|fe80:)"))
+    return is_address(x) & near
+
+
+def url_host(url: Column) -> Column:
+    """The host of a URL, without user, port and the brackets of an IPv6 address."""
+    host = F.regexp_extract(url, r"://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
+    return F.lower(F.regexp_replace(host, r"[\[\]]", ""))
+
+
+def may_fetch(url: Column) -> Column:
+    """Whether a URL is http or https and its host neither private nor blocked."""
+    host = url_host(url)
+    return is_url(url) & ~private_ip(host) & ~host.isin(*BLOCKED_HOSTS)
+
+
+def resolved_path(path: Column) -> Column:
+    """An absolute path without empty, `.` and `..` segments; `..` at the root stays there."""
+    none = F.array().cast("array<string>")
+
+    def step(out: Column, s: Column) -> Column:
+        up = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
+        return F.when(s.isin("", "."), out).when(s == "..", up).otherwise(F.concat(out, F.array(s)))
+
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), none, step), "/"))
+
+
+def inside(path: Column, base: str) -> Column:
+    """Whether a path, resolved, is the folder base or lies below it."""
+    at = resolved_path(path)
+    return (at == base) | F.startswith(at, F.lit(base.rstrip("/") + "/"))
+
+
+def clean_identifier(x: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(x, "^[:@$]+", ""), r"(?s)[(){}\[\];,].*$", ""))
+
+
+def normalize_symbol(x: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(x, "^[@.$]+", ""), r"\(\)$", "")))
+
+
+def budget_cut(x: Column, tokens: int) -> Column:
+    """The text up to 3 characters a token, and a note where it was cut."""
+    most = 3 * tokens
+    return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit(f"\n... (truncated to ~{tokens} token budget)"))).otherwise(x)
+
+
+def clamp_depth(x: Column) -> Column:
+    """The depth that a request gets: 3 if it names none, 6 at most."""
+    return F.least(F.coalesce(x, F.lit(3)), F.lit(6))
+
+
+def within_hops(hops: Column, most: Column, answer: Column) -> Column:
+    """The answer, unless its path has more hops than the request allows (8 if it names no limit)."""
+    most = F.coalesce(most, F.lit(8))
+    return F.when(hops > most, F.concat(F.lit("Path exceeds max_hops="), most, F.lit(" ("), hops, F.lit(" hops found)."))).otherwise(answer)
 
 
 def is_url(x: Column) -> Column:

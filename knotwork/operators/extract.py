@@ -36,22 +36,81 @@ def python_definitions(files: DataFrame) -> DataFrame:
 
 
 def headings(docs: DataFrame) -> DataFrame:
-    """(path, level, label) of Markdown headings of docs(path, text)."""
+    """(path, level, label) of Markdown headings of docs(path, text); closing signs are no part of the label."""
     lines = docs.select("path", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("s"))
-    rule = r"^(#{1,6})\s+(.+?)\s*$"
+    rule = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
     return lines.where(F.rlike("s", F.lit(rule))).select("path", F.length(F.regexp_extract("s", rule, 1)).alias("level"), F.regexp_extract("s", rule, 2).alias("label"))
 
 
+#: What the name of a syntax node tells of a literal and of a control structure; the first that fits counts.
+LITERALS = (
+    ("string", "string|char"),
+    ("number", "integer|number|float|real"),
+    ("boolean", "^true$|^false$|boolean"),
+    ("null", "^null$|^nil$|^none$"),
+    ("array", "array|list"),
+    ("object", "dictionary|hash|map|object"),
+    ("set", "set"),
+)
+CONTROLS = (
+    ("branches", "if|switch|case|match|unless"),
+    ("loops", "for|while|do_statement"),
+    ("handles", "try|catch|except"),
+)
+
+
+def _first_fit(kind: Column, rules, otherwise: Column) -> Column:
+    for name, rule in reversed(rules):
+        otherwise = F.when(F.rlike(kind, F.lit(rule)), name).otherwise(otherwise)
+    return otherwise
+
+
 def literal_kind(kind: Column) -> Column:
-    out = F.lit("literal")
-    for part, name in (("null", "null"), ("bool", "boolean"), ("true", "boolean"), ("false", "boolean"), ("float", "number"), ("number", "number"), ("integer", "number"), ("string", "string")):
-        out = F.when(F.contains(kind, F.lit(part)), name).otherwise(out)
-    return out
+    return _first_fit(kind, LITERALS, kind)
 
 
 def control_relation(kind: Column) -> Column:
-    has = lambda *xs: F.rlike(kind, F.lit("|".join(xs)))
-    return F.when(has("if", "switch", "case", "conditional"), "branches").when(has("for", "while", "loop"), "loops").when(has("try", "catch", "except"), "handles").otherwise("control_flow")
+    return _first_fit(kind, CONTROLS, F.lit("control_flow"))
+
+
+def control_label(kind: Column) -> Column:
+    return F.replace(F.regexp_replace(kind, "_statement$|_clause$", ""), F.lit("_"), F.lit(" "))
+
+
+#: Lines that import, open a type and open a function, in any of the common languages.
+IMPORTS = (r"^import\s+[\"']([^\"']+)[\"']", r"^import\s+([\w.*/{} ,]+);?$", r"^using\s+([\w.]+);?", r"^#include\s+[<\"]([^>\"]+)", r"^require\s*\(?[\"']([^\"']+)[\"']\)?", r"^use\s+([\\\w]+);?", r"^package\s+([\w.]+);?")
+TYPES = (r"\b(?:class|interface|struct|enum|object|module|trait)\s+([A-Za-z_]\w*)", r"\bnamespace\s+([A-Za-z_][\w.]*)")
+FUNCTIONS = (*(rf"\b{word}\s+([A-Za-z_]\w*)\s*\(" for word in ("function", "func", "fn", "def", "sub")), r"^(?:public|private|protected|static|async|override|virtual|final|\w+)\s+([A-Za-z_]\w*)\s*\(")
+NO_FUNCTIONS = ("if", "for", "while", "switch", "catch")
+
+
+def _first_match(line: Column, rules) -> Column:
+    found = [F.nullif(F.trim(F.regexp_extract(line, rule, 1)), F.lit("")) for rule in rules]
+    return F.coalesce(*found)
+
+
+def code_lines(files: DataFrame) -> DataFrame:
+    """(path, line, kind, name) of the imports, types and functions of files(path, text) in any language, one a line.
+
+    A line is an import and may be a type or a function besides; a type is no function.
+    """
+    lines = files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n")).alias("at", "raw"))
+    s = F.trim("raw")
+    lines = lines.select("path", (F.col("at") + 1).alias("line"), _first_match(s, IMPORTS).alias("imports"), _first_match(s, TYPES).alias("type"), _first_match(s, FUNCTIONS).alias("function"))
+    function = F.when(F.col("type").isNull() & ~F.col("function").isin(*NO_FUNCTIONS), F.col("function"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), x.alias("name")) for k, x in (("imports", F.col("imports")), ("type", F.col("type")), ("function", function))))
+    return lines.select("path", "line", F.explode(F.filter(kinds, lambda x: x["name"].isNotNull())).alias("f")).select("path", "line", "f.*")
+
+
+def generic_edges(files: DataFrame) -> DataFrame:
+    """(source, target, relation, line): what the lines of files in any language import and contain."""
+    from ..functions.text import make_id
+
+    rows = code_lines(files)
+    here = make_id(F.col("path"))
+    name = F.when(F.col("kind") == "type", F.element_at(F.split("name", r"\."), -1)).otherwise(F.col("name"))
+    target = F.when(F.col("kind") == "imports", make_id(F.col("name"))).otherwise(make_id(F.col("path"), name))
+    return rows.select(here.alias("source"), target.alias("target"), F.when(F.col("kind") == "imports", "imports").otherwise("contains").alias("relation"), "line")
 
 
 def dependency_package(module: Column) -> Column:

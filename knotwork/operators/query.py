@@ -27,6 +27,17 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) and c not in "^`´¨¯·¸").lower()
 
 
+def folded(x: Column) -> Column:
+    """fold() of a column, on the JVM for plain ASCII and in Python for the rest."""
+
+    @F.pandas_udf("string")
+    def other(values):
+        return values.map(lambda s: None if s is None else fold(s))
+
+    plain = F.rlike(x, F.lit(r"^[\x00-\x7f&&[^\^`]]*$"))
+    return F.when(plain, F.lower(x)).otherwise(other(F.when(~plain, x)))
+
+
 def terms(question: str) -> list[str]:
     return [t.lower() for t in question.split() if len(t) > 2]
 
@@ -37,7 +48,7 @@ def question_terms(question: Column) -> Column:
 
 def score_nodes(g: PropertyGraph, words: list[str]) -> DataFrame:
     """(id, score) of nodes with a score above 0: 1 a term in the label, 0.5 in the path, 100 for the exact label."""
-    label, source = F.lower("label"), F.lower(F.coalesce("source_file", F.lit("")))
+    label, source = folded(F.col("label")), F.lower(F.coalesce("source_file", F.lit("")))
     score = F.lit(0.0)
     for t in map(fold, words):
         score = score + F.contains(label, F.lit(t)).cast("double") + F.contains(source, F.lit(t)).cast("double") * 0.5

@@ -55,12 +55,14 @@ def dfs(g: PropertyGraph, starts: Iterable[str], depth: int) -> DataFrame:
     return lists.coalesce(1).mapInPandas(walk, "id string, place long")
 
 
-def shortest_path(g: PropertyGraph, source: str, target: str, most: int = 12) -> list[str] | None:
-    """The path of fewest hops; of several the one whose ids come first, which is what ascending discovery finds."""
+def shortest_path(g: PropertyGraph, source: str, target: str) -> list[str] | None:
+    """The path of fewest hops; of several the one whose ids come first, which is what ascending discovery finds.
+
+    Goes on until the target is reached or nothing new is; None without a path."""
     spark = g.nodes.sparkSession
     paths = spark.createDataFrame([(source, [source])], "id string, path array<string>")
     visited = paths.select("id")
-    for _ in range(most):
+    while True:
         hit = paths.where(F.col("id") == target).select("path").collect()  # at most one row
         if hit:
             return list(hit[0][0])
@@ -69,6 +71,5 @@ def shortest_path(g: PropertyGraph, source: str, target: str, most: int = 12) ->
         if paths.isEmpty():
             return None
         visited = visited.union(paths.select("id"))
-    return None
 
 

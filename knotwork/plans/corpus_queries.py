@@ -39,6 +39,13 @@ _N = "lower(regexp_replace(regexp_replace({}, '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_
 _E = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 _HOST, _PATH = "lower(regexp_extract(url, '://([^/?#:]*)', 1))", "regexp_extract(url, '://[^/?#]*([^?#]*)', 1)"
 c = F.col
+
+
+def _nth(values, key: str):
+    """One of the values by turns, by a column of numbers."""
+    return F.element_at(F.lit(list(values)).cast("array<string>"), (c(key) % len(values) + 1).cast("int"))
+
+
 scalar("fn_make_id", "part", "p_partkey", lambda: text.make_id(F.concat(F.lit("_"), c("p_name")), F.lit(""), F.concat(c("p_brand"), F.lit("."))), _N.format("p_name || '_' || p_brand"))
 scalar("fn_normalize_id", "customer", "c_custkey", lambda: text.normalize_id(c("c_name")), _N.format("c_name"))
 scalar("fn_sanitize_label", "documents", "doc_id", lambda: text.sanitize_label(c("text")), "substring(regexp_replace(text, '[\\x00-\\x1f\\x7f]', '', 'g'), 1, 256)")
@@ -46,7 +53,7 @@ scalar("fn_file_stem", "part", "p_partkey", lambda: text.file_stem(F.concat(F.li
 scalar("fn_posix_path", "part", "p_partkey", lambda: text.posix_path(F.concat(c("p_brand"), F.lit("\\"), c("p_name"))), "p_brand || '/' || p_name")
 scalar("fn_line_number", "documents", "doc_id", lambda: text.line_of_offset(c("text"), F.lit(500)), "1 + length(substring(text, 1, 500)) - length(replace(substring(text, 1, 500), chr(10), ''))")
 scalar("fn_md5", "documents", "doc_id", lambda: F.md5("text"), "md5(text)")
-scalar("fn_content_hash", "documents", "doc_id", lambda: F.sha2(F.concat(c("text"), F.lit("|"), c("source")), 256), "sha256(text || '|' || source)")
+scalar("fn_content_hash", "documents", "doc_id", lambda: F.sha2(F.concat(c("text"), F.lit("\0"), c("source")), 256), "sha256(text || chr(0) || source)")
 scalar("fn_count_words", "documents", "doc_id", lambda: text.count_words(c("text")), "len(regexp_extract_all(text, '\\S+'))")
 scalar("fn_escape_html", "pages", "page_id", lambda: text.escape_html(c("html")), _E.format("html"))
 scalar("fn_safe_community_name", "pages", "page_id", lambda: text.safe_community_name(c("url")), "trim(regexp_replace(url, '[\\\\/*?:\"<>|#^\\[\\]]', '', 'g'))")
@@ -68,16 +75,29 @@ scalar("fn_compact_text", "documents", "doc_id", lambda: text.compact_text(c("te
 scalar("fn_symbol_base", "orders", "o_orderkey", lambda: text.symbol_base(F.concat(F.lit(".Order_"), c("o_orderkey"), F.lit("()"))), "'order_' || o_orderkey")
 scalar("fn_question_slug", "conversations", "conv_id, turn", lambda: text.question_slug(c("text")), "substring(regexp_replace(regexp_replace(lower(text), '[^A-Za-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g'), 1, 50)")
 scalar("fn_is_url", "pages", "page_id", lambda: text.is_url(c("url")), "url LIKE 'http://%' OR url LIKE 'https://%'")
-scalar("fn_private_ip", "customer", "c_custkey", lambda: text.private_ip(F.concat((c("c_custkey") % 200).cast("string"), F.lit(".16.0.1"))), "(c_custkey % 200) IN (0, 10, 127, 172)")
+_HOSTS = {"10.0.0.1": 1, "fdic.gov": 0, "10.example.com": 0, "172.16.0.1": 1, "172.32.0.1": 0, "fd00::1": 1, "fe80::1": 1, "::1": 1, "0.0.0.0": 0, "192.168.1.1": 1, "127.9.9.9": 1, "8.8.8.8": 0, "169.254.1.1": 1, "fc.org": 0, "10.0.0.256": 0}
+scalar("fn_private_ip", "customer", "c_custkey", lambda: text.private_ip(_nth(_HOSTS, "c_custkey")), f"{list(_HOSTS.values())}[c_custkey % {len(_HOSTS)} + 1] = 1")
 scalar("token_estimate", "documents", "doc_id", lambda: F.greatest(F.lit(1), F.floor(F.length("text") / 4)), "greatest(1, length(text) // 4)")
 scalar("paper_signals", "documents", "doc_id", lambda: scan.paper_signals(c("text")), " + ".join(f"regexp_matches(substring(text, 1, 3000), '{p}')::INT" for p in scan.PAPER_SIGNALS))
-scalar("url_guard", "pages", "page_id", lambda: text.is_url(c("url")) & ~text.private_ip(F.regexp_extract("url", "://([^/?#:]*)", 1)), "url LIKE 'http%://%'")
+_URLS = {"http://fdic.gov/a": 1, "https://10.0.0.1/": 0, "ftp://a.org": 0, "http://[fd00::1]:80/x": 0, "http://user@127.0.0.1/": 0, "http://metadata.google.internal/v1": 0, "https://10.example.com/": 1, "http://a.org:8080/?q=10.0.0.1": 1, "file:///etc/passwd": 0}
+scalar("url_guard", "customer", "c_custkey", lambda: text.may_fetch(_nth(_URLS, "c_custkey")), f"{list(_URLS.values())}[c_custkey % {len(_URLS)} + 1] = 1")
+scalar("url_guard_pages", "pages", "page_id", lambda: text.may_fetch(c("url")), "url LIKE 'http://%' OR url LIKE 'https://%'")
 scalar("call_names", "pages", "page_id", lambda: F.size(extract.call_names(c("html"))), "len(list_distinct(list_filter(regexp_extract_all(html, '\\b([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1), lambda x: x NOT IN (" + ", ".join(map(repr, extract.NO_CALLS)) + "))))")
 scalar("infer_context", "conversations", "conv_id, turn", lambda: query.infer_contexts(c("text")), "concat_ws(',', " + ", ".join(f"CASE WHEN list_has_any(regexp_split_to_array(lower(regexp_replace(text, '[?,]', ' ', 'g')), '\\s+'), {list(v)}) THEN '{k}' END" for k, v in query.HINTS.items()) + ")")
 scalar("question_terms", "conversations", "conv_id, turn", lambda: F.array_join(query.question_terms(c("text")), " "), "array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: length(x) > 2), ' ')")
 scalar("dependency_package", "pages", "page_id", lambda: extract.dependency_package(F.regexp_replace("url", "^https?://", "@")), "CASE WHEN split_part(regexp_replace(url, '^https?://', '@'), '/', 2) <> '' THEN split_part(regexp_replace(url, '^https?://', '@'), '/', 1) || '/' || split_part(regexp_replace(url, '^https?://', '@'), '/', 2) ELSE split_part(regexp_replace(url, '^https?://', '@'), '/', 1) END")
-scalar("literal_kind", "events", "event_id", lambda: extract.literal_kind(F.concat(F.element_at(F.lit(["string", "integer", "true", "null", "float"]).cast("array<string>"), (c("event_id") % 5 + 1).cast("int")), F.lit("_literal"))), "['string', 'number', 'boolean', 'null', 'number'][event_id % 5 + 1]")
-scalar("control_relation", "events", "event_id", lambda: extract.control_relation(F.element_at(F.lit(["if_statement", "while_loop", "try_statement", "with"]).cast("array<string>"), (c("event_id") % 4 + 1).cast("int"))), "['branches', 'loops', 'handles', 'control_flow'][event_id % 4 + 1]")
+_KINDS = {"string_literal": "string", "char": "string", "integer": "number", "real_literal": "number", "true": "boolean", "null": "null", "nil": "null", "none": "null", "array": "array", "list_literal": "array", "dictionary": "object", "hash": "object", "set": "set", "regex": "regex", "true_thing": "true_thing"}
+scalar("literal_kind", "events", "event_id", lambda: extract.literal_kind(_nth(_KINDS, "event_id")), f"{list(_KINDS.values())}[event_id % {len(_KINDS)} + 1]")
+_FORMS = {"if_statement": "branches", "match_expression": "branches", "unless": "branches", "switch_case": "branches", "while_statement": "loops", "do_statement": "loops", "foreach": "loops", "try_statement": "handles", "except_clause": "handles", "with": "control_flow", "conditional": "control_flow"}
+scalar("control_relation", "events", "event_id", lambda: extract.control_relation(_nth(_FORMS, "event_id")), f"{list(_FORMS.values())}[event_id % {len(_FORMS)} + 1]")
+scalar("control_label", "events", "event_id", lambda: extract.control_label(_nth(_FORMS, "event_id")), f"replace(regexp_replace({list(_FORMS)}[event_id % {len(_FORMS)} + 1], '_statement$|_clause$', ''), '_', ' ')")
+scalar("fn_clean_identifier", "part", "p_partkey", lambda: text.clean_identifier(F.concat(F.lit("@$"), c("p_name"), F.lit(" (x);\ny"))), "trim(p_name)")
+scalar("fn_normalize_symbol", "part", "p_partkey", lambda: text.normalize_symbol(F.concat(F.lit("@."), c("p_brand"), F.lit("()"))), "lower(p_brand)")
+scalar("budget_cut", "documents", "doc_id", lambda: text.budget_cut(c("text"), 100), "CASE WHEN length(text) > 300 THEN substring(text, 1, 300) || chr(10) || '... (truncated to ~100 token budget)' ELSE text END")
+scalar("depth_clamp", "lineitem", "l_orderkey, l_linenumber", lambda: text.clamp_depth(F.when(c("l_linenumber") < 7, c("l_linenumber") * 2)), "CASE WHEN l_linenumber < 7 THEN least(l_linenumber * 2, 6) ELSE 3 END")
+scalar("hop_limit", "lineitem", "l_orderkey, l_linenumber", lambda: text.within_hops(c("l_linenumber") * 2, F.when(c("l_linenumber") % 2 == 0, c("l_linenumber")), F.lit("found")), "CASE WHEN l_linenumber * 2 > CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber ELSE 8 END THEN 'Path exceeds max_hops=' || CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber ELSE 8 END || ' (' || l_linenumber * 2 || ' hops found).' ELSE 'found' END")
+_PLACES = {"/out/graph.json": 1, "/out/../etc/passwd": 0, "/out": 1, "/outer/x": 0, "/out/a/../b": 1, "/a/../out//./x": 1, "/../../out/x": 1, "/out/a/../../..": 0}
+scalar("path_guard", "pages", "page_id", lambda: text.inside(_nth(_PLACES, "page_id"), "/out"), f"{list(_PLACES.values())}[page_id % {len(_PLACES)} + 1] = 1")
 scalar("import_resolve", "part", "p_partkey", lambda: extract.resolve_import(F.concat(F.lit("supply/"), c("p_brand"), F.lit(".ts")), F.when(c("p_partkey") % 2 == 0, F.lit("./util")).otherwise("lib/tool")), "CASE WHEN p_partkey % 2 = 0 THEN 'supply/util.ts' ELSE 'tool' END")
 scalar("llm_cost", "documents", "doc_id", lambda: F.col("n_chars") / 4 / 1e6 * 3 + 500 / 1e6 * 15, "n_chars / 4 / 1e6 * 3 + 500 / 1e6 * 15")
 
@@ -193,10 +213,18 @@ def ingest_pages(spark, d):
     return p.withColumn("k", k).select("page_id", F.concat("name", F.when(c("k") > 1, F.concat(F.lit("_"), "k")).otherwise(""), F.lit(".md")).alias("file"))
 
 
-@register(f"SELECT page_id, length(regexp_extract(s, '^(#+)', 1)) AS level, regexp_extract(s, '^#+\\s+(.+?)\\s*$', 1) AS label FROM (SELECT page_id, unnest(string_split({_H}, chr(10))) AS s FROM pages) WHERE regexp_matches(s, '^#{{1,6}}\\s+(.+?)\\s*$')")
+@register("SELECT p_partkey, level, CASE level WHEN 1 THEN p_name WHEN 2 THEN p_brand ELSE 'Size ' || p_size END AS label FROM part, (VALUES (1), (2), (6)) v(level)")
 def doc_headings(spark, d):
-    md = table(spark, d, "pages").select(c("page_id").alias("path"), text.strip_html(c("html")).alias("text"))
-    return extract.headings(md).withColumnRenamed("path", "page_id")
+    lines = [F.lit("# "), "p_name", F.lit(" ##\ntext # no heading\n##  "), "p_brand", F.lit("  \n####### seven\n#none\n###### Size "), "p_size"]
+    docs = table(spark, d, "part").select(c("p_partkey").alias("path"), F.concat(*lines).alias("text"))
+    return extract.headings(docs).withColumnRenamed("path", "p_partkey")
+
+
+@register("""SELECT 'src_p' || p_partkey AS source, target, relation, line FROM part, LATERAL (VALUES ('lib_' || lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '_', 'g')), 'imports', 1), ('src_p' || p_partkey || '_part' || p_partkey, 'contains', 3), ('src_p' || p_partkey || '_price', 'contains', 4), ('src_p' || p_partkey || '_inner', 'contains', 8)) v(target, relation, line)""")
+def generic_extract(spark, d):
+    body = [F.lit("import 'lib/"), "p_brand", F.lit("'\n\nclass Part"), "p_partkey", F.lit(" {\n  function price(x) {\n    if (x) return 1\n  }\n}\nnamespace a.b.inner\n")]
+    files = table(spark, d, "part").select(F.concat(F.lit("src/p"), "p_partkey").alias("path"), F.concat(*body).alias("text"))
+    return extract.generic_edges(files)
 
 
 def _sources(spark, d):
@@ -255,17 +283,8 @@ def merge_fragments(spark, d):
     return part("documents", c("lang")).union(part("benchmark", F.lit("bench"))).groupBy("lang").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
 
 
-@register("SELECT doc_id, strip_accents(lower(substring(text, 1, 200))) AS value FROM documents")
-def fn_strip_diacritics(spark, d):
-    @F.pandas_udf("string")
-    def fold(x):
-        return x.map(lambda s: None if s is None else query.fold(s))
-
-    return table(spark, d, "documents").select("doc_id", fold(F.substring("text", 1, 200)).alias("value"))
-
-
 @register()
-def fn_strip_diacritics_whole(spark, d):
+def fn_strip_diacritics(spark, d):
     @F.pandas_udf("string")
     def fold(x):
         return x.map(lambda s: None if s is None else query.fold(s))

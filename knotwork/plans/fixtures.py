@@ -139,7 +139,7 @@ UNION ALL SELECT 'part_' || l_partkey, 'supplier_' || l_suppkey, 'imports', 'INF
 edges AS (SELECT e.source, e.target, e.relation, e.confidence, e.context, e.source_file, ord FROM (
   SELECT arg_max({{'source': source, 'target': target, 'relation': relation, 'confidence': confidence, 'context': context, 'source_file': source_file}}, ord) AS e, min(ord) AS ord
   FROM raw WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes) GROUP BY least(source, target), greatest(source, target))),
-sym AS (SELECT source AS id, target AS nbr FROM edges UNION SELECT target, source FROM edges),
+sym AS MATERIALIZED (SELECT source AS id, target AS nbr FROM edges UNION SELECT target, source FROM edges),
 deg AS (SELECT id, count(nbr) AS degree FROM nodes LEFT JOIN sym USING (id) GROUP BY id),
 att AS (SELECT n.*, degree, (source_file <> '' AND label = {BASE.format("source_file")}) OR (label LIKE '.%' AND label LIKE '%()') OR (label LIKE '%()' AND degree <= 1) AS file_like,
   source_file = '' OR NOT contains({BASE.format("source_file")}, '.') AS concept FROM nodes n JOIN deg USING (id)),

@@ -330,6 +330,8 @@ FROM hop JOIN (SELECT source AS a, target AS b, relation, confidence FROM edges
 def shortest_path_text(spark, d):
     g = commerce(spark, d)
     path = traverse.shortest_path(g, "customer_1", "supplier_1")
+    if not path:
+        return spark.createDataFrame([], "text string")
     hops = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(path, path[1:], strict=False))], "i int, id string, nbr string")
     steps = hops.join(g.directions(), ["id", "nbr"]).join(g.nodes.select(F.col("id").alias("nbr"), "label"), "nbr")
     parts = steps.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.concat(F.lit("--"), "relation", F.lit(" ["), "confidence", F.lit("]--> "), "label").alias("t")))), lambda x: x["t"]), " ").alias("t"))
@@ -357,14 +359,8 @@ def merge_graph(spark, d):
     return both.nodes.select("id", "label", "file_type", "source_file", "repo")
 
 
-@register("""WITH RECURSIVE e AS (SELECT DISTINCT 'order_' || l_orderkey AS a, 'part_' || l_partkey AS b FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R' AND l_linestatus = 'O'),
-s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS other FROM s UNION SELECT r.id, s.b FROM r JOIN s ON r.other = s.a) SELECT id, min(other) AS component FROM r GROUP BY id""", head="")
-def connected_components(spark, d):
-    return components(bipartite_edges(spark, d))
-
-
 @register()
-def connected_components_whole(spark, d):
+def connected_components(spark, d):
     return components(whole_bipartite_edges(spark, d))
 
 
@@ -432,11 +428,21 @@ def tree_rollup(spark, d):
     return tree(commerce(spark, d))
 
 
-@register("SELECT regexp_extract(min(source_file), '^[^/]*') AS a, regexp_extract(max(source_file), '^[^/]*') AS b, CASE WHEN a = b THEN a ELSE '' END AS root FROM nodes WHERE source_file <> ''")
+def _shared_start(a, b):
+    """The folder that the least and the greatest path of a group share, and so all of them do."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    first_other = F.array_position(same, False)
+    return F.array_join(F.slice(a, F.lit(1), F.when(first_other > 0, first_other - 1).otherwise(F.size(a)).cast("int")), "/")
+
+
+@register("""SELECT top, array_to_string(list_transform(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i]), lambda i: a[i]), '/') AS root
+FROM (SELECT split_part(source_file, '/', 1) AS top, min(string_split(source_file, '/')) AS a, max(string_split(source_file, '/')) AS b FROM nodes WHERE source_file <> '' GROUP BY ALL
+UNION ALL SELECT '', min(string_split(source_file, '/')), max(string_split(source_file, '/')) FROM nodes WHERE source_file <> '')""")
 def common_root(spark, d):
-    f = commerce(spark, d).nodes.where("source_file <> ''").agg(F.min("source_file").alias("lo"), F.max("source_file").alias("hi"))
-    first = lambda c: F.split_part(c, F.lit("/"), F.lit(1))
-    return f.select(first("lo").alias("a"), first("hi").alias("b"), F.when(first("lo") == first("hi"), first("lo")).otherwise("").alias("root"))
+    files = commerce(spark, d).nodes.where("source_file <> ''").select(F.split("source_file", r"[\\\\/]").alias("p"))
+    ends = [F.min("p").alias("a"), F.max("p").alias("b")]
+    each = files.groupBy(F.get("p", F.lit(0)).alias("top")).agg(*ends)
+    return each.union(files.agg(*ends).select(F.lit(""), "a", "b")).select("top", _shared_start(F.col("a"), F.col("b")).alias("root"))
 
 
 @register("SELECT cid, label, count(*) AS n_nodes FROM clabel JOIN member USING (cid) GROUP BY 1, 2")

@@ -62,7 +62,7 @@ def test_components_of_the_whole_table(spark, con):
     for a, b in con.sql("SELECT DISTINCT 'order_' || l_orderkey, 'part_' || l_partkey FROM lineitem").fetchall():
         low, high = sorted((find(a), find(b)))
         root[high] = low
-    got = {r["id"]: r["component"] for r in registry.queries()["connected_components_whole"](spark, SF).collect()}
+    got = {r["id"]: r["component"] for r in registry.queries()["connected_components"](spark, SF).collect()}
     assert got == {x: find(x) for x in root}
 
 
@@ -71,6 +71,50 @@ def test_diacritics_of_whole_texts(spark, tmp_path):
 
     texts = [None, "", "\u00c9t\u00e9 " * 500, "x" * 300 + "\u00c5ngstr\u00f6m", "a\u0301" * 201]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["value"] for r in registry.queries()["fn_strip_diacritics_whole"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["value"] for r in registry.queries()["fn_strip_diacritics"](spark, str(tmp_path)).collect()}
     bare = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
     assert got == {i: None if t is None else bare(t) for i, t in enumerate(texts)}
+
+
+def test_node_link_save_and_load(spark, tmp_path):
+    from knotwork.operators import node_link
+
+    g = graph(spark, [("a", "b", "one"), ("b", "c", "two")])
+    node_link.save(g, f"{tmp_path}/g")
+    back = node_link.load(spark, f"{tmp_path}/g")
+    both = [{(r["source"], r["target"], r["relation"]) for r in x.edges.collect()} for x in (g, back)]
+    assert both[0] == both[1] and len(both[0]) == 2
+    assert {r["id"] for r in back.nodes.collect()} == {"a", "b", "c"}
+
+
+def test_paths_of_any_length(spark):
+    g = graph(spark, [(f"n{i:02d}", f"n{i + 1:02d}", "r") for i in range(16)])
+    assert len(shortest_path(g, "n00", "n16")) == 17 and shortest_path(g, "n00", "elsewhere") is None
+
+
+def test_labels_are_folded(spark):
+    from knotwork.operators.query import score_nodes
+
+    g = graph(spark, [("Café", "b", "r")])
+    assert [r["id"] for r in score_nodes(g, ["cafe"]).collect()] == ["Café"]
+
+
+def test_rebuild_on_change_and_debounced_stream(spark, tmp_path):
+    import datetime
+
+    from knotwork.streaming import changes
+
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, 0) + datetime.timedelta(seconds=s)
+    rows = [("a", at(0), 1, "click"), ("a", at(1), 2, "view"), ("a", at(100), 3, "click"), ("b", at(200), 4, "click")]
+    spark.createDataFrame(rows, "path string, mtime timestamp, order_ long, kind string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema("path string, mtime timestamp, order_ long, kind string").parquet(f"{tmp_path}/in")
+    calls = []
+    one = changes.rebuild_on_change(stream(), lambda b: calls.append(("rebuild", b.count())), lambda b: calls.append(("flag", b.count())), code=("click", "view"))
+    one.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/one").start().awaitTermination()
+    two = changes.rebuild_on_change(stream(), lambda b: calls.append(("rebuild", b.count())), lambda b: calls.append(("flag", b.count())), code=("view",))
+    two.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/two").start().awaitTermination()
+    assert calls == [("rebuild", 4), ("flag", 4)]
+    out = changes.debounce_stream(stream(), "3 seconds", "1 second").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/three")
+    out.trigger(availableNow=True).start().awaitTermination()
+    got = {(r["path"], r["n"], r["last"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {("a", 2, "view"), ("a", 1, "click")}
