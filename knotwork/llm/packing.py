@@ -14,8 +14,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
-from bisect import bisect_right
 import zlib
+from array import array
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -122,8 +123,8 @@ def _completions(counts: np.ndarray, room: int, slack: int, work: list[int]):
     what it displaces fits where that item would have gone.
     """
     up = np.flatnonzero(counts[: room + 1])
-    sums = np.concatenate(([0], np.cumsum(up * counts[up]))).tolist()
-    up, have = up.tolist(), {x: int(counts[x]) for x in up.tolist()}
+    # A step of the search stays open as long as those below it, so what it holds is compact: 24 bytes a length.
+    sums, have, up = (array("q", x.astype(np.int64).tobytes()) for x in (np.concatenate(([0], np.cumsum(up * counts[up]))), counts[up], up))
     work[0] -= 64 + len(up)
 
     def dominated(items: list[int], waste: int) -> bool:
@@ -133,7 +134,7 @@ def _completions(counts: np.ndarray, room: int, slack: int, work: list[int]):
             at = bisect_right(up, least - 1)
             while at < len(up) and up[at] <= x + waste:
                 work[0] -= 1
-                if have[up[at]] > items.count(up[at]):
+                if have[at] > items.count(up[at]):
                     return True
                 at += 1
         return False
@@ -148,7 +149,7 @@ def _completions(counts: np.ndarray, room: int, slack: int, work: list[int]):
             if left - sums[at + 1] > slack:
                 return
             x = up[at]
-            for n in range(min(have[x], left // x), 0, -1):
+            for n in range(min(have[at], left // x), 0, -1):
                 yield from grow(at, left - n * x, items + [x] * n)
 
     return grow(len(up), room, [])
