@@ -31,6 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     grouped = cut(keys.join(groups, "component").select(F.col("key.doc_id").alias("id"), F.col("key.text_hash").alias("hash"), "times", (F.col("key") == F.col("first")).alias("stays")))
     rows = rowed(docs, doc_id=F.col("doc_id").cast("long"), text_hash=F.xxhash64(F.col("text").cast("string")))
     of = rows.join(grouped, (rows["doc_id"] == grouped["id"]) & (rows["text_hash"] == grouped["hash"]), "left")
+    if grouped.where("stays and times > 1").isEmpty():  # no row repeats: one pass over the joined rows is enough
+        return of.where("stays is null or stays").select("row.*")
     single = of.where("stays is null or stays and times = 1").select("row")
     several = of.where("stays and times > 1").dropDuplicates(["id", "hash"]).select("row")
     return single.union(several).select("row.*")
