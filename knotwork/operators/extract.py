@@ -115,8 +115,9 @@ def generic_edges(files: DataFrame) -> DataFrame:
 
 def dependency_package(module: Column) -> Column:
     """The package that an import names."""
-    part = lambda i: F.split_part(module, F.lit("/"), F.lit(i))
-    return F.when(F.startswith(module, F.lit("node:")), "node").when(F.startswith(module, F.lit("@")), F.concat_ws("/", part(1), F.when(part(2) != "", part(2)))).otherwise(part(1))
+    scope = F.array_join(F.slice(F.split(module, "/"), 1, 2), "/")
+    root = F.nullif(F.regexp_extract(module, r"^[^/.\\]*", 0), F.lit(""))
+    return F.when(F.startswith(module, F.lit("node:")), "node").when(F.startswith(module, F.lit("@")), scope).otherwise(F.coalesce(root, module))
 
 
 def resolve_import(path: Column, module: Column) -> Column:

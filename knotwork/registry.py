@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import corpus_queries, fragment_queries, graph_queries
+from .plans import corpus_queries, fragment_queries, graph_queries, symbol_queries
 
-MODULES = (graph_queries, corpus_queries, fragment_queries)
+MODULES = (graph_queries, corpus_queries, fragment_queries, symbol_queries)
 
 
 def queries() -> dict:
