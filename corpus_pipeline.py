@@ -25,17 +25,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by shingles one row, the one with the smallest id (of its texts the one with the
     smallest hash); documents without words and rows without an id all stay."""
-    found = jaccard_join.jaccard_components(docs).where("component is not null")
-    keys = found.groupBy("component", F.struct("doc_id", "text_hash").alias("key")).agg(F.count(F.lit(1)).alias("times"))
+    linked = jaccard_join.jaccard_components(docs)
+    keys = linked.where("component is not null").groupBy("component", F.struct("doc_id", "text_hash").alias("key")).agg(F.count(F.lit(1)).alias("times"))
     groups = keys.groupBy("component").agg(F.sum("times").alias("size"), F.min("key").alias("first")).where("size > 1")
-    grouped = cut(keys.join(groups, "component").select(F.col("key.doc_id").alias("id"), F.col("key.text_hash").alias("hash"), "times", (F.col("key") == F.col("first")).alias("stays")))
+    stays = F.col("key") == F.col("first")
+    # What goes, and of what stays the rows that repeat; all other rows pass by without a join.
+    marked = keys.join(groups, "component").where(~stays | (F.col("times") > 1))
+    marked = cut(marked.select(F.col("key.doc_id").alias("id"), F.col("key.text_hash").alias("hash"), stays.alias("stays")))
+    discard(linked)
+    n = marked.count()
+    if not n:
+        return docs
     rows = rowed(docs, doc_id=F.col("doc_id").cast("long"), text_hash=F.xxhash64(F.col("text").cast("string")))
-    of = rows.join(grouped, (rows["doc_id"] == grouped["id"]) & (rows["text_hash"] == grouped["hash"]), "left")
-    if grouped.where("stays and times > 1").isEmpty():  # no row repeats: one pass over the joined rows is enough
-        return of.where("stays is null or stays").select("row.*")
-    single = of.where("stays is null or stays and times = 1").select("row")
-    several = of.where("stays and times > 1").dropDuplicates(["id", "hash"]).select("row")
-    return single.union(several).select("row.*")
+    maybe = jaccard_join.maybe_among(marked.select(F.xxhash64("id", "hash")), n)(F.xxhash64("doc_id", "text_hash"))
+    rows = rows.withColumn("maybe", maybe)
+    of = rows.where("maybe").join(marked, (rows["doc_id"] == marked["id"]) & (rows["text_hash"] == marked["hash"]), "left")
+    out = rows.where("not maybe").select("row").union(of.where("stays is null").select("row"))
+    if not marked.where("stays").isEmpty():
+        out = out.union(of.where("stays").dropDuplicates(["id", "hash"]).select("row"))
+    return out.select("row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

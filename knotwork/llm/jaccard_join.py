@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,8 +193,8 @@ def _meetings(percent: int):
 class Bloom:
     """Which ids may be wanted: 12 bits an id and two probes, at most 32 MB; fuller than that it lets more ids by."""
 
-    def __init__(self, n: int):
-        self.bits = np.zeros(1 << min(25, max(10, (12 * n // 8).bit_length())), np.uint8)
+    def __init__(self, n: int, bits: bytes | None = None):
+        self.bits = np.zeros(1 << min(25, max(10, (12 * n // 8).bit_length())), np.uint8) if bits is None else np.frombuffer(bits, np.uint8)
 
     def _at(self, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         h = mix64(ids.astype(np.int64).view(np.uint64))
@@ -229,12 +230,28 @@ def _ored(batches):
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["bits"])
 
 
+def _filter_of(ids: DataFrame, n: int):
+    """The broadcast bits of the filter of n ids, the one column of ids."""
+    bits = ids.mapInArrow(_bits(n), "bits binary").repartition(8).mapInArrow(_ored, "bits binary").coalesce(1).mapInArrow(_ored, "bits binary")
+    return ids.sparkSession.sparkContext.broadcast(bytes(bits.collect()[0][0]))
+
+
+def maybe_among(ids: DataFrame, n: int):
+    """A function of long columns without nulls: false where a value is surely none of the n > 0 ids, the one column of ids."""
+    bits_b = _filter_of(ids, n)
+
+    @F.pandas_udf("boolean")
+    def held(values: pd.Series) -> pd.Series:
+        return pd.Series(Bloom(n, bits_b.value).may_hold(values.to_numpy()))
+
+    return held
+
+
 def _sets(words: int, n: int, bits_b):
     """cls, set of the documents that the filter lets by, each set once a task."""
 
     def run(batches):
-        bloom, seen = Bloom(n), set()
-        bloom.bits = np.frombuffer(bits_b.value, np.uint8)
+        bloom, seen = Bloom(n, bits_b.value), set()
         for b in batches:
             b = b.filter(pa.array(bloom.may_hold(b.column(0).to_numpy())))
             sets = {_key(_class_of(s)): s.view(np.int64) for s in (shingles(t, words) for t in b.column(1).to_pylist()) if len(s)}
@@ -292,9 +309,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int,
     n = reps.count()
     if not n:
         return None
-    bits = reps.mapInArrow(_bits(n), "bits binary").repartition(8).mapInArrow(_ored, "bits binary").coalesce(1).mapInArrow(_ored, "bits binary")
-    bits_b = documents.sparkSession.sparkContext.broadcast(bytes(bits.collect()[0][0]))
-    sets = documents.mapInArrow(_sets(words, n, bits_b), "cls long, set array<long>").dropDuplicates(["cls"])
+    sets = documents.mapInArrow(_sets(words, n, _filter_of(reps, n)), "cls long, set array<long>").dropDuplicates(["cls"])
     side = lambda x: sets.select(F.col("cls").alias(x), F.col("set").alias(f"set_{x}"))
     both = pairs.select("a", "b", "rep_a", "rep_b").join(side("a"), "a").join(side("b"), "b")
     need = _needed(F.size("set_a"), F.size("set_b"), percent)
