@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..sources.tables import cut, discard, scratch, settings, shared_dir, table
 
-__all__ = ["SPACES", "bounded_batches", "components", "cut", "discard", "mix64", "n_words", "numbered", "rowed", "scratch", "settings", "shared_dir", "shingles", "table"]
+__all__ = ["SPACES", "bounded_batches", "components", "cut", "discard", "mix64", "n_words", "numbered", "rowed", "scratch", "settings", "shared_dir", "shingles", "table", "tidied"]
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`; bytes.split() splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
@@ -22,6 +25,19 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def tidied(run):
+    """run over Arrow batches, after which the Python worker, which Spark keeps for other tasks, gives freed memory back."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def rowed(df: DataFrame, **columns: Column) -> DataFrame:
     """The rows of df as one struct column `row`, beside `columns` over df: names of df's own can't clash with later ones.
     `select("row.*")` brings df's columns back."""

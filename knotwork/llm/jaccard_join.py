@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, discard, mix64, scratch, shingles, table
+from .common import bounded_batches, components, discard, mix64, scratch, shingles, table, tidied
 
 #: Hashed counters, summed in SLICES parts: a fixed size, whatever the input.
 COUNTERS_LOG2, SLICES = 18, 64
@@ -232,7 +232,7 @@ def _ored(batches):
 
 def _filter_of(ids: DataFrame, n: int):
     """The broadcast bits of the filter of n ids, the one column of ids."""
-    bits = ids.mapInArrow(_bits(n), "bits binary").repartition(8).mapInArrow(_ored, "bits binary").coalesce(1).mapInArrow(_ored, "bits binary")
+    bits = ids.mapInArrow(_bits(n), "bits binary").repartition(8).mapInArrow(_ored, "bits binary").repartition(1).mapInArrow(_ored, "bits binary")
     return ids.sparkSession.sparkContext.broadcast(bytes(bits.collect()[0][0]))
 
 
@@ -309,7 +309,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int,
     n = reps.count()
     if not n:
         return None
-    sets = documents.mapInArrow(_sets(words, n, _filter_of(reps, n)), "cls long, set array<long>").dropDuplicates(["cls"])
+    sets = documents.mapInArrow(tidied(_sets(words, n, _filter_of(reps, n))), "cls long, set array<long>").dropDuplicates(["cls"])
     side = lambda x: sets.select(F.col("cls").alias(x), F.col("set").alias(f"set_{x}"))
     both = pairs.select("a", "b", "rep_a", "rep_b").join(side("a"), "a").join(side("b"), "b")
     need = _needed(F.size("set_a"), F.size("set_b"), percent)
@@ -379,7 +379,7 @@ def jaccard_components(documents: DataFrame, threshold: float = 0.8, words: int
     text = F.col("text").cast("string")
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     with scratch() as cut:
-        scanned = cut(documents.mapInArrow(_scan(words), "doc_id long, th long, n long, sig binary, cls long, bits array<long>, slice int, counts binary"))
+        scanned = cut(documents.mapInArrow(tidied(_scan(words)), "doc_id long, th long, n long, sig binary, cls long, bits array<long>, slice int, counts binary"))
         counts = np.zeros(COUNTERS, np.int64).reshape(SLICES, -1)
         for r in scanned.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_summed, "slice int, counts binary").collect():
             counts[r["slice"]] += np.frombuffer(bytes(r["counts"]), np.int64)  # SLICES rows
@@ -393,10 +393,10 @@ def jaccard_components(documents: DataFrame, threshold: float = 0.8, words: int
         named = documents.where("doc_id is not null").select("doc_id", "text")
         # A shingle with a tenth of a task's share of the postings is dealt over several tasks.
         load = max(1000.0, counts.sum() * (100 - percent) / 1000 / int(spark.conf.get("spark.sql.shuffle.partitions")))
-        posts = named.select("text").mapInArrow(_postings(counts_b, words, percent, load), "token long, cls long, pack long, salt int")
+        posts = named.select("text").mapInArrow(tidied(_postings(counts_b, words, percent, load)), "token long, cls long, pack long, salt int")
         # Most shingles occur in one class only and end here, after the one shuffle that all postings go through.
         posts = posts.repartition("token", "salt").sortWithinPartitions("token", "salt", "cls")
-        met = cut(posts.mapInArrow(_meetings(percent), "token long, a long, b long, pack long"), ROWS)
+        met = cut(posts.mapInArrow(tidied(_meetings(percent)), "token long, a long, b long, pack long"), ROWS)
         frequent = met.where("token is not null").select("token", F.col("a").alias("cls"), "pack").distinct()
         star = _to_pivot(frequent, percent, apart=False)
         pairs = cut(_candidates(met.where("token is null").select("a", "b").union(star).distinct(), classes, percent))

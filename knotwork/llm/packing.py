@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, numbered, table
+from .common import bounded_batches, cut, numbered, table, tidied
 
 #: Steps of the branch and bound: lengths looked at. Some seconds; small histograms are exhausted long before.
 WORK = 5_000_000
@@ -338,7 +338,7 @@ def pack(documents: DataFrame, tokenizer_path: str, size: int = 4096, end: int =
     spark = documents.sparkSession
     bounded_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.mapInArrow(_pieces(tokenizer_path, size, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.mapInArrow(tidied(_pieces(tokenizer_path, size, end)), "doc_id long, piece int, start long, length long, ids_crc32 long")
     rows = cut(rows.withColumn("_k", F.lpad(F.hex(F.xxhash64("doc_id", "piece", "ids_crc32")), 16, "0")))
     histogram = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most `size` rows
     slots, next_rank, next_bin = [], {}, 0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, discard, rowed, table
+from .common import bounded_batches, cut, discard, rowed, table, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -210,7 +210,7 @@ def _key():
 def _scanned(documents: DataFrame) -> DataFrame:
     bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("th"), F.col("text").cast("string").alias("text"))
-    return cut(docs.mapInArrow(_scan, _SCANNED))
+    return cut(docs.mapInArrow(tidied(_scan), _SCANNED))
 
 
 def _joined(spans):

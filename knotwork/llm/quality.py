@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, rowed, table
+from .common import bounded_batches, rowed, table, tidied
 
 BUCKETS_LOG2 = 18
 DIMENSIONS = 8
@@ -88,7 +88,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     chosen = labels.where("y = 0").orderBy("_h").limit(sample).union(labels.where("y = 1").orderBy("_h").limit(sample))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("_h", "y").agg(F.min("text").alias("text"))  # 2 * sample rows, one an id
-    model = rows.repartition(1).sortWithinPartitions("_h").select("text", "y").mapInArrow(_fit, "logits binary, bias double").collect()
+    model = rows.repartition(1).sortWithinPartitions("_h").select("text", "y").mapInArrow(tidied(_fit), "logits binary, bias double").collect()
     if not model:  # an empty table has no partition to fit in
         return np.zeros(1 << BUCKETS_LOG2, np.float32), 0.0
     model = model[0]
