@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import analyze, cluster, query, traverse
+from ..operators import analyze, articles, cluster, query, traverse
 from ..operators.components import components
 from ..operators.graph import PropertyGraph, merge_graphs, merge_nodes, resolve
 from ..sources.tables import cut, table
@@ -451,6 +451,24 @@ def wiki_index(spark, d):
     return _labels(spark, d).join(sizes, "cid").select(F.col("cid").cast("long").alias("cid"), "label", "n_nodes")
 
 
+_LINKS = "SELECT a.cid, l.label, count(*) AS n FROM sym JOIN member a ON sym.id = a.id JOIN member b ON nbr = b.id JOIN clabel l ON l.cid = b.cid WHERE a.cid <> b.cid GROUP BY 1, 2"
+_TRAIL = " || chr(10) || ".join(f"'- {x}: ' || coalesce({x}, 0) || ' (' || floor(coalesce({x}, 0) / coalesce(ends, 1) * 100 + 0.5)::BIGINT || '%)'" for x in articles.CONFIDENCES)
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE confidence = '{x}') AS {x}" for x in articles.CONFIDENCES)
+
+
+@register(f"""SELECT cid, label, '# ' || label || E'\\n\\n> ' || n || E' nodes\\n\\n## Key Concepts\\n\\n' || concepts || CASE WHEN n > 25 THEN E'\\n- *... and ' || (n - 25) || ' more nodes in this community*' ELSE '' END
+|| E'\\n\\n## Relationships\\n\\n' || coalesce(links, '- No strong cross-community connections detected') || coalesce(E'\\n\\n## Source Files\\n\\n' || files, '') || E'\\n\\n## Audit Trail\\n\\n' || {_TRAIL} AS text
+FROM (SELECT cid, count(*) AS n FROM member GROUP BY cid) JOIN clabel USING (cid)
+LEFT JOIN (SELECT cid, string_agg('- **' || label || '** (' || degree || ' connections)' || CASE WHEN source_file <> '' THEN ' — `' || source_file || '`' ELSE '' END, chr(10) ORDER BY k) AS concepts
+FROM (SELECT cid, att.label, att.degree, nodes.source_file, row_number() OVER (PARTITION BY cid ORDER BY att.degree DESC, id) AS k FROM member JOIN att USING (id) JOIN nodes USING (id)) WHERE k <= 25 GROUP BY cid) USING (cid)
+LEFT JOIN (SELECT cid, string_agg('- [[' || label || ']] (' || n || ' shared connections)', chr(10) ORDER BY k) AS links FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY n DESC, label) AS k FROM ({_LINKS})) WHERE k <= 12 GROUP BY cid) USING (cid)
+LEFT JOIN (SELECT cid, string_agg('- `' || source_file || '`', chr(10) ORDER BY k) AS files FROM (SELECT cid, source_file, row_number() OVER (PARTITION BY cid ORDER BY source_file) AS k FROM (SELECT DISTINCT cid, source_file FROM member JOIN nodes USING (id) WHERE source_file <> '')) WHERE k <= 20 GROUP BY cid) USING (cid)
+LEFT JOIN (SELECT cid, {_COUNTS}, count(*) AS ends FROM (SELECT source AS id, confidence FROM edges UNION ALL SELECT target, confidence FROM edges WHERE source <> target) JOIN member USING (id) GROUP BY cid) USING (cid)""")
+def wiki_articles(spark, d):
+    found = articles.community_articles(commerce(spark, d), _member(spark, d), _labels(spark, d))
+    return found.withColumn("cid", F.col("cid").cast("long"))
+
+
 @register("SELECT 'unexpected ' || what AS error, count(*) AS n FROM (SELECT 'source' AS what FROM raw WHERE source NOT IN (SELECT id FROM nodes) UNION ALL SELECT 'target' FROM raw WHERE target NOT IN (SELECT id FROM nodes) UNION ALL SELECT 'confidence' FROM raw WHERE confidence NOT IN ('EXTRACTED', 'STATIC_RESOLVED', 'INFERRED') UNION ALL SELECT 'file_type' FROM nodes WHERE file_type NOT IN ('code', 'document')) GROUP BY 1")
 def validate_graph(spark, d):
     from ..operators.validate import problems

@@ -118,3 +118,19 @@ def test_rebuild_on_change_and_debounced_stream(spark, tmp_path):
     out.trigger(availableNow=True).start().awaitTermination()
     got = {(r["path"], r["n"], r["last"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {("a", 2, "view"), ("a", 1, "click")}
+
+
+def test_file_names_of_articles_are_given_once(spark):
+    from knotwork.operators.articles import file_names
+
+    rows = [(1, "a b"), (2, "a b"), (3, "c"), (4, "a b"), (5, "c")]
+    got = [r["file"] for r in file_names(spark.createDataFrame(rows, "cid long, label string")).orderBy("cid").collect()]
+    assert len(set(got)) == 5 and got[1] == f"{got[0]}_2" and got[3] == f"{got[0]}_3" and got[4] == f"{got[2]}_2"
+
+
+def test_supertypes_and_import_targets_of_nothing(spark):
+    from knotwork.operators import symbols
+
+    rows = spark.createDataFrame([(None, None), ("import_statement", ""), ("import_statement", "import *")], "kind string, s string")
+    got = rows.select(symbols.supertypes(rows["s"]).alias("a"), symbols.import_targets(rows["kind"], rows["s"]).alias("b")).collect()
+    assert all(r["a"] == [] and r["b"] == [] for r in got)
