@@ -10,23 +10,29 @@ which they leave room.
 Equal vectors are one class, compared once and counted as often as it has members. A pair of blocks returns the number
 of links of each class and a spanning forest of the links, at most one row a class each, however many links there are.
 The driver holds the boxes of the blocks (200 bytes for up to 16,384 vectors).
+
+Pairs of blocks can be many times the vectors, so their vectors are never shuffled: a round broadcasts SENT bytes of blocks
+at most (or one block) and every task meets them with the blocks that it reads from the table.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, scratch, table
+from .common import components, discard, scratch, settings, table
 
 #: Coordinates in the sort key and the boxes.
 LEADING = 8
 LEAF = 512
+#: Bytes of vectors that a round broadcasts.
+SENT = 32 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray | None:
@@ -240,6 +246,17 @@ def _near(meta_b, eps2: float):
     return run
 
 
+def _rounds(sizes: list[int]) -> list[tuple[int, int]]:
+    """Cuts the sequence of blocks into ranges of at most SENT bytes, or of one block."""
+    out, start, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > SENT:
+            out.append((start, i))
+            start, held = i, 0
+        held += n
+    return [*out, (start, len(sizes))] if sizes else []
+
+
 def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, block: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of embeddings(vec_id, embedding).
 
@@ -262,28 +279,41 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, block: int | Non
     with scratch() as cut:
         turned = cut(rows.mapInArrow(_turned(axes_b), "id long, d int, cells array<int>, v binary, key long"))
         classes = cut(turned.groupBy("key", "d", "v").agg(F.first("cells").alias("cells"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("times")))
+        ids = cut(turned.select("id", "key"))
+        discard(turned)
         n = classes.count()
         # Blocks grow with the input, so that their number, of which the driver holds the boxes, stays small.
         size = block or int(min(16384, max(1024, n // 2048)))
         ordered = classes.repartitionByRange(max(1, -(-n // (4 * size))), "d", "cells", "key").sortWithinPartitions("d", "cells", "key")
         blocks = cut(ordered.select("key", "d", "v", "times").mapInArrow(_blocks(size, kind, axes_b), "part int, k int, d int, ids binary, data binary, lo array<double>, hi array<double>"))
-        meta = sorted((r["part"], r["k"], r["d"], r["lo"], r["hi"]) for r in blocks.select("part", "k", "d", "lo", "hi").collect())
+        slim = cut(classes.select("key", "rep", "times"))
+        discard(classes)
+        meta = sorted((r["part"], r["k"], r["d"], r["lo"], r["hi"], r["n"]) for r in blocks.select("part", "k", "d", "lo", "hi", F.length("data").alias("n")).collect())
         wide = lambda x: np.array([v + [0.0] * (LEADING - len(v)) for v in x]).reshape(-1, LEADING)
         meta_b = spark.sparkContext.broadcast((wide([m[3] for m in meta]), wide([m[4] for m in meta]), [m[2] for m in meta], [m[:2] for m in meta]))
         pairs = cut(blocks.select("part", "k").repartition(max(1, min(64, len(meta)))).mapInArrow(_near(meta_b, eps2), "part int, k int, part2 int, k2 int"))
-        one = blocks.select("part", "k", "d", "ids", "data")
         two = blocks.select(F.col("part").alias("part2"), F.col("k").alias("k2"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
         twin = (F.col("part") == F.col("part2")) & (F.col("k") == F.col("k2"))
-        both = pairs.join(one, ["part", "k"]).join(two, ["part2", "k2"]).select("d", "ids", "data", F.when(~twin, F.col("ids2")).alias("ids2"), F.when(~twin, F.col("data2")).alias("data2"))
-        found = cut(both.mapInArrow(_joined(eps2, cosine, kind, axes_b), "id long, n long, root long"), batch=4)  # rows of megabytes
+        # One file of blocks a task: blocks come after those they meet, so the last ones have most to do.
+        file = 4 * max((m[5] for m in meta), default=0)
+        links = []
+        for first, end in _rounds([m[5] for m in meta]):
+            at, (a, b) = F.struct("part", "k"), (F.struct(*map(F.lit, meta[i][:2])) for i in (first, end - 1))
+            one = F.broadcast(blocks.where(at.between(a, b)).select("part", "k", "d", "ids", "data"))
+            both = two.join(F.broadcast(pairs.where(at.between(a, b))), ["part2", "k2"]).join(one, ["part", "k"])
+            both = both.select("d", "ids", "data", F.when(~twin, F.col("ids2")).alias("ids2"), F.when(~twin, F.col("data2")).alias("data2"))
+            with settings(spark, spark__sql__files__maxPartitionBytes=str(max(4 << 20, file))):
+                links.append(cut(both.mapInArrow(_joined(eps2, cosine, kind, axes_b), "id long, n long, root long"), batch=4))  # rows of megabytes
+        found = reduce(DataFrame.union, links) if links else spark.createDataFrame([], "id long, n long, root long")
+        discard(blocks, pairs)
         counts = found.groupBy("id").agg(F.sum("n").alias("n"))
         comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        least = comps.join(classes, comps["id"] == classes["key"]).groupBy("component").agg(F.min("rep").alias("least"))
+        least = comps.join(slim, comps["id"] == slim["key"]).groupBy("component").agg(F.min("rep").alias("least"))
         joined = comps.join(least, "component").join(counts, "id", "left").select("id", "least", "n")
-        of = classes.select("key", "rep", "times").join(joined, F.col("key") == F.col("id"), "left")
+        of = slim.join(joined, F.col("key") == F.col("id"), "left")
         of = of.select("key", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n"), F.coalesce("least", "rep").alias("least"))
         # An id that repeats reports the sum of its vectors, and the smallest component.
-        own = turned.select("id", "key").join(of, "key").groupBy("id").agg(F.sum("n").alias("n"), F.min("least").alias("component")).select(F.col("id").alias("_i"), "n", "component")
+        own = ids.join(of, "key").groupBy("id").agg(F.sum("n").alias("n"), F.min("least").alias("component")).select(F.col("id").alias("_i"), "n", "component")
         out = rows.select(F.col("id").alias("vec_id")).join(own, F.col("vec_id") == F.col("_i"), "left")
         comp = F.coalesce("component", "vec_id")
         return cut.keep(cut(out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("vec_id"), F.lit(True)).alias("kept"))))
