@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, discard, mix64, scratch, shingles, table, tidied
+from .common import bounded_batches, components, mix64, scratch, shingles, table, tidied
 
 #: Hashed counters, summed in SLICES parts: a fixed size, whatever the input.
 COUNTERS_LOG2, SLICES = 18, 64
@@ -286,9 +286,10 @@ def _near(percent: int):
 
 
 def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b, rep_a, rep_b, apart of the pairs(a, b) that pass the suffix filter."""
-    of = lambda x: classes.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "bits")))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").where(_near(percent))
+    """a, b, rep_a, rep_b, apart of the pairs(a, b) that pass the suffix filter and, if classes have comp, whose comps differ."""
+    known = "comp" in classes.columns
+    of = lambda x: classes.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "bits", *(["comp"] if known else []))))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(_near(percent) & (F.col("comp_a") != F.col("comp_b") if known else F.lit(True)))
     return both.select("a", "b", "rep_a", "rep_b", _apart("bits_a", "bits_b").alias("apart"))
 
 
@@ -302,25 +303,22 @@ def _nearest(pairs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int, cut) -> DataFrame | None:
     """Links (a, b) between classes among pairs(a, b, rep_a, rep_b), over whole sets.
 
-    A filter of the wanted ids keeps other texts out of the shuffle.
+    pairs is a table that cut has written. A filter of the wanted ids keeps other texts out of the shuffle.
     """
-    reps = pairs.select(F.col("rep_a").alias("id")).union(pairs.select("rep_b")).distinct()
-    reps = cut(reps)
-    n = reps.count()
+    reps = pairs.select(F.col("rep_a").alias("id")).union(pairs.select("rep_b"))
+    n = 2 * pairs.count()  # ids that repeat only make the filter larger, and it has a bound
     if not n:
         return None
     sets = documents.mapInArrow(tidied(_sets(words, n, _filter_of(reps, n))), "cls long, set array<long>").dropDuplicates(["cls"])
     side = lambda x: sets.select(F.col("cls").alias(x), F.col("set").alias(f"set_{x}"))
     both = pairs.select("a", "b", "rep_a", "rep_b").join(side("a"), "a").join(side("b"), "b")
     need = _needed(F.size("set_a"), F.size("set_b"), percent)
-    links = cut(both.where(F.size(F.array_intersect("set_a", "set_b")) >= need).select("a", "b"))
-    discard(reps)
-    return links
+    return cut(both.where(F.size(F.array_intersect("set_a", "set_b")) >= need).select("a", "b"))
 
 
 def _labels(classes: DataFrame, found: DataFrame) -> DataFrame:
-    """cls, comp: the component of each class."""
-    return classes.join(found, found["id"] == classes["cls"], "left").select("cls", F.coalesce("component", "cls").alias("comp"))
+    """cls, rep, n, bits, comp: the classes with their components."""
+    return classes.join(found, found["id"] == classes["cls"], "left").select("cls", "rep", "n", "bits", F.coalesce("component", "cls").alias("comp"))
 
 
 def _open(postings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -328,7 +326,7 @@ def _open(postings: DataFrame, labels: DataFrame) -> DataFrame:
 
     Components only grow together, so a shingle that is left out once need not be looked at again.
     """
-    marked = postings.select("token", "cls", "pack").join(labels, "cls")
+    marked = postings.select("token", "cls", "pack").join(labels.select("cls", "comp"), "cls")
     sizes = marked.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
     open_ = sizes.groupBy("token").agg(F.max_by("comp", "m").alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "most")
     return marked.join(open_, "token")
@@ -397,7 +395,7 @@ def jaccard_components(documents: DataFrame, threshold: float = 0.8, words: int
         # Most shingles occur in one class only and end here, after the one shuffle that all postings go through.
         posts = posts.repartition("token", "salt").sortWithinPartitions("token", "salt", "cls")
         met = cut(posts.mapInArrow(tidied(_meetings(percent)), "token long, a long, b long, pack long"), ROWS)
-        frequent = met.where("token is not null").select("token", F.col("a").alias("cls"), "pack").distinct()
+        frequent = met.where("token is not null").select("token", F.col("a").alias("cls"), "pack")  # each once
         star = _to_pivot(frequent, percent, apart=False)
         pairs = cut(_candidates(met.where("token is null").select("a", "b").union(star).distinct(), classes, percent))
 
@@ -405,22 +403,21 @@ def jaccard_components(documents: DataFrame, threshold: float = 0.8, words: int
         links = _verified(tried, named, words, percent, cut)
         if links is None:
             links = cut(classes.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0))
-        found, done = components(links), tried.select("a", "b")
+        found, done = components(links, written=True), tried.select("a", "b")
         for last in (False, True):
             labels = cut(_labels(classes, found))
             frequent = cut(_open(frequent, labels))
             more = _between(frequent.join(classes.select("cls", "n", "bits"), "cls"), percent) if last else _to_pivot(frequent, percent, apart=True)
-            left = pairs.select("a", "b").union(more).distinct().join(done, ["a", "b"], "left_anti")
-            of = lambda x, labels=labels: labels.select(F.col("cls").alias(x), F.col("comp").alias(f"comp_{x}"))
-            left = left.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select("a", "b")
-            pairs = cut(_candidates(left, classes, percent))
+            met_by = lambda x, tried: x.select("a", "b", F.lit(tried).alias("tried"))
+            left = met_by(pairs, False).union(met_by(more, False)).union(met_by(done, True)).groupBy("a", "b").agg(F.max("tried").alias("tried"))
+            pairs = cut(_candidates(left.where("not tried").select("a", "b"), labels, percent))
             tried = pairs if last else cut(_nearest(pairs))
             done = done.union(tried.select("a", "b"))
             more = _verified(tried, named, words, percent, cut)
             if more is not None:
                 links = cut(links.union(more))
-                found = components(links)
-        comps = cut(_labels(classes, found).join(classes.select("cls", "rep"), "cls"))
+                found = components(links, written=True)
+        comps = cut(_labels(classes, found).select("cls", "rep", "comp"))
         least = comps.groupBy("comp").agg(F.min("rep").alias("component_id"))
         of = comps.join(least, "comp").select("cls", "rep", "comp", "component_id")
         linked = F.col("doc_id").isNotNull()
