@@ -20,6 +20,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from .common import bounded_batches, cut, numbered, table, tidied
 
 #: Steps of the branch and bound: lengths looked at. Some seconds; small histograms are exhausted long before.
 WORK = 5_000_000
+#: Bytes of texts whose words are looked up at once; one text may be longer.
+CHARS = 1 << 21
 
 # --- the plan -----------------------------------------------------------------------------------
 
@@ -242,68 +245,135 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _of_letters(model):
+    """The same for words of a-z with a blank between them, which need neither normalizing nor expressions to split them."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    letters = Tokenizer(model.model)
+    letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    return letters
+
+
 class Ids:
     """Token ids of whole texts as little-endian bytes.
 
     White space always ends a token of this vocabulary, so a text's ids are those of its words in turn. Ids of words
-    are kept while they are in use, up to two generations of `keep` words.
+    are kept while they are in use, up to two generations of `keep` words and those of one call more.
     """
 
-    def __init__(self, path: str, keep: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, keep: int = 250_000, longest: int = 48):
         self.model, self.keep, self.longest = tokenizer(path), keep, longest
         ids_of_ = lambda text: np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
         self.marks = {m: ids_of_(m).tobytes() for m in ("", ".", ",")}
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(1 + max(vocabulary.values()), bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.letters = _of_letters(self.model)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _plain(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words of letters only, perhaps with a stop or comma after them, from one call for all that are new.
+    def _encoded(self, words: list[str], by) -> dict[str, bytes]:
+        """Ids of words of letters only, from one call. Such a word is one unit and a unit's last token says so, which tells the words' ids apart."""
+        ids = np.array(by.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(stops) != len(words):
+            return {}
+        data, cuts = ids.tobytes(), [0, *stops.tolist()]
+        return {w: data[x:y] for w, x, y in zip(words, cuts, cuts[1:], strict=False)}
+
+    def _learn(self, words: list[str]) -> None:
+        """Puts the ids of words into young. Those of letters only, perhaps with a stop or comma after them, share calls.
 
-        Such a word is one unit and a unit's last token says so, which tells the words' ids apart. The vocabulary has
-        lower case only, so words of A-Z share their ids with those of a-z.
+        The vocabulary has lower case only, so words of A-Z share their ids with those of a-z.
         """
-        of: dict[str, tuple[str, str]] = {}
+        young, old, marks = self.young, self.old, self.marks
+        later, rest, fresh = [], [], ({}, {})
         for w in words:
-            base, mark = (w[:-1], w[-1]) if w[-1:] in (".", ",") else (w, "")
+            base = w
+            if (mark := w[-1:]) == "." or mark == ",":
+                base = w[:-1]
+            else:
+                mark = ""
             if base.isascii():
-                base = base.lower()
-                if base.isalpha():
-                    of[w] = base, mark
+                if not base.isalpha():
+                    rest.append(w)
+                    continue
+                base, kind = base.lower(), 0
             elif base.isalpha() and base.lower().isalpha():
-                of[w] = base, mark
-        known = {b: ids for b, _ in of.values() if (ids := self.young.get(b) or self.old.get(b))}
-        new = list({b for b, _ in of.values()}.difference(known))
-        ids = np.array(self.model.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-        if len(stops) != len(new):
-            return {}
-        data, cuts = ids.tobytes(), [0, *stops.tolist()]
-        known.update((b, data[x:y]) for b, x, y in zip(new, cuts, cuts[1:], strict=False))
-        return known | {w: known[b] + self.marks[m] for w, (b, m) in of.items()}
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
+                kind = 1
+            else:
+                rest.append(w)
+                continue
+            ids = young.get(base)
+            if ids is None and (ids := old.get(base)) is None:
+                fresh[kind][base] = None
+                later.append((w, base, mark))
+            else:
+                young[w] = ids + marks[mark] if mark else ids
+        known: dict[str, bytes] = {}
+        for bases, by in zip(fresh, (self.letters, self.model), strict=True):
+            if bases:
+                known |= self._encoded(list(bases), by)
+        young.update(known)
+        for w, base, mark in later:
+            if base in known:
+                young[w] = known[base] + marks[mark] if mark else known[base]
+            else:
+                rest.append(w)
+        if rest:
+            for w, x in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                young[w] = np.array(x.ids, "<u4").tobytes()
+
+    def of(self, words: list[str]) -> list[bytes]:
+        """Ids of each of words, which are distinct."""
+        if len(self.young) > self.keep:
+            self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        if new := set(words).difference(young):
-            if len(young) > self.keep:
-                self.young, self.old = {}, young
-                young, old, new = self.young, young, set(words)
-            for w in new:  # not new.intersection(old), which walks over all of old
-                if w in old:
-                    young[w] = old[w]
-            if unseen := new.difference(old):
-                young.update(self._plain(unseen))
-                if unseen := [w for w in unseen if w not in young]:
-                    for w, x in zip(unseen, self.model.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-                        young[w] = np.array(x.ids, "<u4").tobytes()
-        out = b"".join(map(young.__getitem__, words))
+        found = list(map(young.get, words))
+        new = [w for w, x in zip(words, found, strict=True) if x is None]
+        if not new:
+            return found
+        unseen = []
+        for w in new:
+            if (x := old.get(w)) is None:
+                unseen.append(w)
+            else:
+                young[w] = x
+        if unseen:
+            self._learn(unseen)
+        found = [young[w] if x is None else x for w, x in zip(words, found, strict=True)]
         for w in new:
             if len(w) > self.longest:
                 young.pop(w, None)
-        return out
+                young.pop(w[:-1], None)
+        return found
+
+    def texts(self, texts: pa.Array):
+        """Ids of each text (null: none). Words are told apart outside of Python, those of CHARS bytes of texts at a time."""
+        texts = pc.fill_null(texts, "")
+        size = pc.binary_length(texts).to_numpy().astype(np.int64)
+        part = (np.cumsum(size) - size) // CHARS
+        bounds = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(texts)]
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            some = texts[low:high]
+            for space in "\n\t":
+                some = pc.replace_substring(some, space, " ")
+            split = pc.split_pattern(some, " ")
+            coded = split.flatten().dictionary_encode()
+            parts = self.of(coded.dictionary.to_pylist())
+            length = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+            at = coded.indices.to_numpy()
+            n = length[at]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            places = np.repeat((np.cumsum(length) - length)[at] - ends[:-1], n)
+            places += np.arange(len(places))
+            ids = np.frombuffer(b"".join(parts), "<u4")[places]
+            stops = ends[np.cumsum(pc.list_value_length(split).to_numpy())].tolist()
+            for x, y in zip([0, *stops], stops, strict=False):
+                yield ids[x:y].tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        return next(self.texts(pa.array([text], pa.string())))
 
 
 @functools.cache
@@ -317,8 +387,8 @@ def _pieces(path: str, size: int, end: int):
         ids, tail = ids_of(path), np.array([end], "<u4").tobytes()
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = ids(text or "") + tail
+            for doc, found in zip(b.column(0).to_pylist(), ids.texts(b.column(1)), strict=True):
+                data = found + tail
                 for piece, at in enumerate(range(0, len(data), 4 * size)):
                     part = data[at : at + 4 * size]
                     for x, v in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
