@@ -228,7 +228,9 @@ def extract(documents: DataFrame) -> DataFrame:
     found = discovered(scanned).select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "found")
     both = scanned.drop("occ").join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
     every = F.array_sort(F.concat("base", F.coalesce("found", F.array().cast("array<struct<k:int,s:bigint,e:bigint>>"))))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    # The function of filter() must not have a second argument, even with a default: that is the place in the array.
+    of = lambda k: F.filter("base", lambda x: x["k"] == k)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return both.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.coalesce(F.size("found"), F.lit(0)).alias("n_found"))
 
 
